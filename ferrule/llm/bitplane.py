@@ -38,6 +38,8 @@ BLOCK = 1 << 16
 #: A file is closed when it holds so many ids.
 FILE_IDS = 1 << 20
 _HEAD = struct.Struct("<4sBBIQQ")
+#: The starts of up to so many files are broadcast; more are joined by a shuffle.
+BROADCAST_FILES = 100_000
 FILES = "part int, seq int, n_docs long, n_ids long, payload binary"
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -153,7 +155,10 @@ def read_digests(spark, path: str) -> DataFrame:
 
 def _read(spark, path: str, schema: str, row) -> DataFrame:
     files = spark.read.parquet(path)
-    placed = files.join(_with_start(files.select("part", "seq", "n_ids")), ["part", "seq"]).select("start", "payload")
+    starts = _with_start(files.select("part", "seq", "n_ids"))
+    if starts.count() <= BROADCAST_FILES:
+        starts = F.broadcast(starts)
+    placed = files.join(starts, ["part", "seq"]).select("start", "payload")
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 

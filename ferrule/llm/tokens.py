@@ -3,21 +3,26 @@
 For vocabularies whose normaliser drops white space and whose pre-tokeniser
 never joins across it, a text's ids are the ids of its blank-separated words one
 after the other.  Words repeat, so each worker keeps the ids of words it has seen
-and calls the library once for each batch of new ones.  ``WordEncoder`` checks
-on construction that the vocabulary behaves so, and otherwise encodes whole texts.
+and calls the library for new ones only.  A new word is looked up once more in lower
+case and without a final full stop or comma, which are ids of their own.  Words
+of letters alone go straight to the library's merges, as their normalising and
+splitting change nothing; all others take its whole path.  ``WordEncoder`` checks on
+construction that the vocabulary behaves so, and otherwise encodes whole texts.
 """
 
 from __future__ import annotations
 
 import os
+import unicodedata
 from collections.abc import Iterable
 
 import numpy as np
 
 #: Words kept by one worker, and the longest word that is kept.
-CACHE_WORDS, CACHE_CHARS = 700_000, 48
+CACHE_WORDS, CACHE_CHARS = 900_000, 48
 #: Only these split words here; the library treats every other blank itself.
 _PROBE = ["a b", "a  b", "a\nb\t c", " a", "a ", "it's 's a'\n's", "x.\n.y 12 3", "é́ ́ e"]
+_WORDS = ["Words", "straße", "ÉÈ", "noël,", "x.", "日本", "ñ", "a", "ΑΣ", "İx", "don't.", "end..", "é.", "Thonst,", "naïveté"]
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -30,7 +35,18 @@ class WordEncoder:
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.type = np.dtype(np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32)
         self.cache: dict[str, bytes] = {}
+        self.letters = str.maketrans(self._byte_letters())
+        self.packed = [n.tobytes() for n in np.arange(self.library.get_vocab_size(), dtype=self.type)]
         self.by_word = all(self._whole(t) == b"".join(self._whole(w) for w in self.split(t)) for t in _PROBE)
+        self.direct = self.by_word and all(self._ids_of(_WORDS)[w] == self._whole(w) for w in _WORDS)
+
+    @staticmethod
+    def _byte_letters() -> dict[int, int]:
+        """The characters that byte-level vocabularies write bytes as: printable ones are
+        themselves, the others follow on from 256 in order."""
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = [b for b in range(256) if b not in shown]
+        return {b: 256 + k for k, b in enumerate(others)}
 
     @staticmethod
     def split(text: str) -> list[str]:
@@ -40,13 +56,41 @@ class WordEncoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.type).tobytes()
 
     def _new_words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of distinct words, by one call: each word is one pre-split input."""
+        """Ids of distinct words by the library's whole path: each word is one pre-split input."""
+        if not words:
+            return {}
         found = self.library.encode_batch([words], is_pretokenized=True, add_special_tokens=False)[0]
         flat = np.array(found.ids, dtype=self.type).tobytes()
         size = self.type.itemsize
         cuts = (np.searchsorted(np.array(found.word_ids, dtype=np.int64), np.arange(len(words) + 1)) * size).tolist()
         return {w: flat[a:b] for w, a, b in zip(words, cuts, cuts[1:])}
 
+    def _ids_of(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Ids of new words, by their stems where a word is letters and at most one final mark."""
+        others, found, marks = [], {}, {"": b"", ".": self._whole("."), ",": self._whole(",")}
+        get, tokenize, packed, letters = self.cache.get, self.library.model.tokenize, self.packed, self.letters
+        for word in words:
+            stem, mark = (word[:-1], word[-1]) if word[-1:] in (".", ",") and word[-2:-1].isalpha() else (word, "")
+            if not stem.isalpha():
+                others.append(word)
+                continue
+            low = stem.lower()
+            if low.isascii():
+                plain = low
+            elif "Σ" in stem or not low.isalpha() or not unicodedata.is_normalized("NFC", low):
+                others.append(word)  # capital sigma has two small forms, and marks may combine
+                continue
+            else:
+                plain = low.encode().decode("latin-1").translate(letters)
+            ids = found.get(low) or get(low)
+            if ids is None:
+                ids = b"".join([packed[t.id] for t in tokenize(plain)])
+                found[low] = ids
+            if mark or low is not word:
+                found[word] = ids + marks[mark]
+        found |= self._new_words(others)
+        return found
+
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text as packed integers of ``type``; a null text has none."""
         if not self.by_word:
@@ -59,7 +103,7 @@ class WordEncoder:
         lacking = [i for i, ids in enumerate(held) if None in ids]
         if lacking:
             new = {w for i in lacking for w, ids in zip(split[i], held[i]) if ids is None}
-            found = self._new_words(list(new))
+            found = self._ids_of(new) if self.direct else self._new_words(list(new))
             get = found.get
             for i in lacking:
                 held[i] = [get(w) if ids is None else ids for w, ids in zip(split[i], held[i])]
