@@ -4,7 +4,7 @@ For vocabularies whose normaliser drops white space and whose pre-tokeniser
 never joins across it, a text's ids are the ids of its blank-separated words one
 after the other.  Words repeat, so each worker keeps the ids of words it has seen
 and calls the library for new ones only.  A new word is looked up once more in lower
-case and without a final full stop or comma, which are ids of their own.  Words
+case and without the marks at its end, whose ids follow those of the rest.  Words
 of letters alone go straight to the library's merges, as their normalising and
 splitting change nothing; all others take its whole path.  ``WordEncoder`` checks on
 construction that the vocabulary behaves so, and otherwise encodes whole texts.
@@ -15,14 +15,20 @@ from __future__ import annotations
 import os
 import unicodedata
 from collections.abc import Iterable
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 
 #: Words kept by one worker, and the longest word that is kept.
 CACHE_WORDS, CACHE_CHARS = 900_000, 48
+#: Texts that are looked up before new words are encoded.
+GROUP = 50
 #: Only these split words here; the library treats every other blank itself.
 _PROBE = ["a b", "a  b", "a\nb\t c", " a", "a ", "it's 's a'\n's", "x.\n.y 12 3", "é́ ́ e"]
-_WORDS = ["Words", "straße", "ÉÈ", "noël,", "x.", "日本", "ñ", "a", "ΑΣ", "İx", "don't.", "end..", "é.", "Thonst,", "naïveté"]
+_WORDS = ["Words", "straße", "ÉÈ", "noël,", "x.", "日本", "ñ", "a", "ΑΣ", "İx", "don't.", "end..", "é.", "Thonst,", "naïveté", "THE!!", "a%%%,", "x_"]
+#: A run of these after a letter is one slice of the text (an apostrophe may begin a contraction).
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -67,10 +73,11 @@ class WordEncoder:
 
     def _ids_of(self, words: Iterable[str]) -> dict[str, bytes]:
         """Ids of new words, by their stems where a word is letters and at most one final mark."""
-        others, found, marks = [], {}, {"": b"", ".": self._whole("."), ",": self._whole(",")}
+        others, found, marks = [], {}, {"": b""}
         get, tokenize, packed, letters = self.cache.get, self.library.model.tokenize, self.packed, self.letters
         for word in words:
-            stem, mark = (word[:-1], word[-1]) if word[-1:] in (".", ",") and word[-2:-1].isalpha() else (word, "")
+            stem = word.rstrip(_MARKS)
+            mark = word[len(stem) :]
             if not stem.isalpha():
                 others.append(word)
                 continue
@@ -86,6 +93,8 @@ class WordEncoder:
             if ids is None:
                 ids = b"".join([packed[t.id] for t in tokenize(plain)])
                 found[low] = ids
+            if mark not in marks:
+                marks[mark] = self._whole(mark)
             if mark or low is not word:
                 found[word] = ids + marks[mark]
         found |= self._new_words(others)
@@ -93,22 +102,33 @@ class WordEncoder:
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text as packed integers of ``type``; a null text has none."""
+        texts = list(texts)
         if not self.by_word:
             return [self._whole(t) if t else b"" for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        split = [self.split(t) if t else [] for t in texts]
-        get = self.cache.get
-        held = [list(map(get, words)) for words in split]
-        lacking = [i for i, ids in enumerate(held) if None in ids]
-        if lacking:
-            new = {w for i in lacking for w, ids in zip(split[i], held[i]) if ids is None}
+        # Small groups, as a word that is new to one group is known to the next.
+        return [ids for at in range(0, len(texts), GROUP) for ids in self._encode_group(texts[at : at + GROUP])]
+
+    def _encode_group(self, texts: list[str | None]) -> list[bytes]:
+        cache, out, lacking, new = self.cache, [], [], set()
+        get = cache.get
+        for text in texts:
+            words = self.split(text) if text else []
+            ids = list(map(get, words))
+            # Comparing by identity never looks into the ids.
+            gaps = list(compress(range(len(ids)), map(is_, ids, repeat(None))))
+            if gaps:
+                new.update([words[at] for at in gaps])
+                lacking.append((words, ids, gaps))
+            out.append(ids)
+        if new:
             found = self._ids_of(new) if self.direct else self._new_words(list(new))
-            get = found.get
-            for i in lacking:
-                held[i] = [get(w) if ids is None else ids for w, ids in zip(split[i], held[i])]
-            self.cache.update((w, ids) for w, ids in found.items() if len(w) <= CACHE_CHARS)
-        return [b"".join(ids) for ids in held]
+            for words, ids, gaps in lacking:
+                for at in gaps:
+                    ids[at] = found[words[at]]
+            cache.update([(w, ids) for w, ids in found.items() if len(w) <= CACHE_CHARS])
+        return [b"".join(ids) for ids in out]
 
 
 def encoder(path: str) -> WordEncoder:
