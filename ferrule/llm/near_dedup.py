@@ -148,6 +148,24 @@ def _compare(ids: np.ndarray, signs: np.ndarray, least: int, seed: int, depth: i
             yield from _compare(ids[own], signs[own], least, seed * 31 + branch + 7, depth + 1)
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Edges with the same components as (a, b): one from each id to the smallest of its component."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    parent = list(range(len(ids)))
+    for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist()):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        while parent[y] != y:
+            parent[y] = y = parent[parent[y]]
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    for i, p in enumerate(parent):  # parents are smaller, so theirs are final by now
+        parent[i] = parent[p]
+    root = np.array(parent)
+    moved = root != np.arange(len(ids))
+    return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], names=["a", "b"])
+
+
 def candidate_edges(classes: DataFrame, similarity: float) -> DataFrame:
     """Edges (a, b) whose components hold the likely pairs of ``classes`` (rep, roots, signature)."""
     least = int(SIGNATURE * similarity - DEVIATIONS * (SIGNATURE * similarity * (1 - similarity)) ** 0.5)
@@ -162,7 +180,7 @@ def candidate_edges(classes: DataFrame, similarity: float) -> DataFrame:
                 if b - a > 1:
                     found += _compare(ids[a:b], signs[a:b], least, int(key[a] >> 32) + 1)
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a", "b"])
+                yield _forest(*(np.concatenate(c) for c in zip(*found)))
 
         for batch in batches:
             key = (batch.column("tree").to_numpy().astype(np.int64) << 32) | (batch.column("root").to_numpy().astype(np.int64) & 0xFFFFFFFF)
