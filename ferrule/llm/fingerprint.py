@@ -122,7 +122,7 @@ def _with_next(docs: DataFrame) -> DataFrame:
     Each bucket ends with a copy of the first row of the next one (``tail``), and the
     last with that of the first bucket, so every row is followed by its next one.
     """
-    buckets = 4 * partitions(docs.sparkSession)
+    buckets = partitions(docs.sparkSession)
     cuts = docs.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 1 / (8 * buckets))
     cuts = sorted({int(c) for c in cuts})
     size = 1
@@ -163,7 +163,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = _with_next(docs).repartition(4 * partitions(spark), "bucket")
+    rows = _with_next(docs).repartitionById(partitions(spark) + 1, F.col("bucket"))  # null ids have a bucket more
     rows = rows.sortWithinPartitions("bucket", "tail", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_last())
 
     def edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
