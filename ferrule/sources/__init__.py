@@ -1 +1,124 @@
+"""Readers and writers: Parquet tables, cases as JSON, metadata as CSV, benchmarks and registries as JSON lines, texts."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.scalars import file_stem, first_named, normal_label, present
+
+CASE_SCHEMA = """case_id STRING, patient_id STRING, demographics MAP<STRING,STRING>, report_text STRING, ehr_text STRING, patient_complaints STRING,
+ observations ARRAY<STRUCT<code:STRING,value:STRING,unit:STRING,source:STRING>>,
+ imaging ARRAY<STRUCT<study_id:STRING,modality:STRING,series_paths:ARRAY<STRING>,metadata:MAP<STRING,STRING>>>,
+ provenance MAP<STRING,STRING>, exposures MAP<STRING,STRING>, voice_features MAP<STRING,STRING>, patient_visual MAP<STRING,STRING>, labs_snapshot MAP<STRING,STRING>"""
+BENCHMARK_SCHEMA = "case_id STRING, payload STRING, gold_labels STRING, gold_label STRING, slices MAP<STRING,STRING>, provenance MAP<STRING,STRING>"
+REGISTRY_SCHEMA = "case_id STRING, prediction_id STRING, created_at DOUBLE, payload_hash STRING, label STRING, locked BOOLEAN, accepted_labels ARRAY<STRING>, attached_at DOUBLE"
+MODALITIES = ["ct_3d", "mri_3d", "wsi", "ehr_text", "report_text", "labs", "demographics", "CR", "DX", "CT", "MR", "US", "PT", "DICOM"]
+CXR_SOURCE, OPENI_SOURCE = "NIH ChestX-ray14-style metadata", "Open-i-style metadata"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def read_cases(spark: SparkSession, path: str) -> DataFrame:
+    """One JSON object a file; what is no object has a null case_id."""
+    return spark.read.schema(CASE_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+
+
+def read_csv(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return rows if limit is None else rows.limit(limit)
+
+
+def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines; blank lines are skipped, lines that are no object get a null record. gold_labels or gold_label, a scalar or a list."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return parse_benchmark(lines)
+
+
+def parse_benchmark(lines: DataFrame, value: str = "value") -> DataFrame:
+    item = F.from_json(F.col(value), BENCHMARK_SCHEMA)
+    rows = lines.withColumn("_i", item)
+    raw = F.coalesce(F.col("_i.gold_labels"), F.col("_i.gold_label"))
+    listed = F.coalesce(F.from_json(raw, "array<string>"), F.array(raw))
+    labels = F.filter(F.transform(F.when(raw.isNull(), F.array().cast("array<string>")).otherwise(listed), normal_label), lambda x: present(x))
+    return rows.select(F.col("_i.case_id").alias("case_id"), F.col("_i.payload").alias("payload"), labels.alias("gold_labels"), F.col("_i.slices").alias("slices"), F.col("_i.provenance").alias("provenance"))
+
+
+def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    """The saved registry, or an empty one where there is none."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(conf).exists(at):
+        return spark.createDataFrame([], REGISTRY_SCHEMA)
+    return spark.read.schema(REGISTRY_SCHEMA).json(path)
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text) of whole files; bytes that are no UTF-8 are dropped."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", F.regexp_replace(F.decode("content", "UTF-8"), "�", "").alias("text"))
+
+
+def write_json(df: DataFrame, path: str, raw: bool = False) -> None:
+    """JSON lines with sorted columns; the bulky raw branch is dropped unless asked for."""
+    df = df if raw else df.drop("raw_result")
+    df.select(*(F.col(f"`{c}`") for c in sorted(df.columns))).write.mode("overwrite").json(path)
+
+
+def batch_summary(results: DataFrame) -> DataFrame:
+    """Counts of a batch with its exit code: 2 if any case did not complete."""
+    bad = F.count_if(F.coalesce(F.col("status") != "completed", F.lit(True)))
+    return results.agg(F.count(F.lit(1)).alias("cases"), bad.alias("failed"), F.when(bad > 0, 2).otherwise(0).alias("exit_code"), F.when(bad > 0, "completed_with_errors").otherwise("completed").alias("status"))
+
+
+def cxr_cases(rows: DataFrame, index: str = "row_index", image_root: str | None = None) -> DataFrame:
+    """Cases from chest x-ray metadata; column names have several spellings."""
+    names, n = rows.columns, F.col(index).cast("string")
+    image = first_named(names, ["Image Index", "image_id", "image", "filename"], F.concat(F.lit("cxr-row-"), n))
+    findings = first_named(names, ["Finding Labels", "findings", "labels"], F.lit("No Finding"))
+    report = F.concat(F.lit("ChestX-ray14-style weak-label case. Finding labels: "), findings, F.lit(". Labels are metadata-derived and should be treated as weak supervision only."))
+    return rows.select(
+        F.concat(F.lit("cxr14-"), file_stem(image)).alias("case_id"), first_named(names, ["Patient ID", "patient_id"], F.concat(F.lit("synthetic-cxr-patient-"), n)).alias("patient_id"),
+        first_named(names, ["Patient Age", "age"], F.lit("")).alias("age"), first_named(names, ["Patient Gender", "Patient Sex", "sex", "gender"], F.lit("")).alias("sex"),
+        report.alias("report_text"), image.alias("study_id"), F.lit("CR").alias("modality"), _root(image, image_root).alias("series_path"),
+        first_named(names, ["View Position", "view_position"], F.lit("")).alias("view_position"), first_named(names, ["Follow-up #", "follow_up"], F.lit("")).alias("follow_up"), F.lit(CXR_SOURCE).alias("source"),
+    )
+
+
+def openi_cases(rows: DataFrame, index: str = "row_index", image_root: str | None = None) -> DataFrame:
+    """Cases from report metadata: the report joins its labelled parts that are not empty."""
+    names, n = rows.columns, F.col(index).cast("string")
+    empty = F.lit(None).cast("string")
+    uid = first_named(names, ["uid", "report_id", "id", "case_id"], F.concat(F.lit("openi-row-"), n))
+    image = first_named(names, ["image", "image_id", "filename", "image_filename"], F.concat(F.lit("openi-image-"), n, F.lit(".png")))
+    indication = first_named(names, ["indication", "clinical_indication"], empty)
+    parts = {
+        "Indication": indication, "Findings": first_named(names, ["findings", "report_findings"], empty), "Impression": first_named(names, ["impression", "report_impression"], empty),
+        "Problem terms": first_named(names, ["problems", "labels", "mesh_terms"], empty),
+    }
+    report = F.concat_ws(" ", *(F.concat(F.lit(f"{k}: "), v) for k, v in parts.items()))
+    return rows.select(
+        F.concat(F.lit("openi-"), file_stem(uid)).alias("case_id"), F.concat(F.lit("openi-synthetic-patient-"), n).alias("patient_id"),
+        F.coalesce(F.nullif(report, F.lit("")), F.lit("Open-i-style report metadata without narrative text.")).alias("report_text"), F.coalesce(indication, F.lit("")).alias("patient_complaints"),
+        image.alias("study_id"), F.lit("CR").alias("modality"), _root(image, image_root).alias("series_path"), F.lit(OPENI_SOURCE).alias("source"),
+    )
+
+
+def _root(image: Column, root: str | None) -> Column:
+    return F.concat(F.lit(root.rstrip("/") + "/"), image) if root else F.lit(None).cast("string")
+
+
+def validated(cases: DataFrame) -> DataFrame:
+    """Add errors and warnings; cases with errors go to the reject branch."""
+    narrative = present(F.col("report_text")) | present(F.col("ehr_text")) | present(F.col("patient_complaints"))
+    errors = F.array_compact(F.array(F.when(~present(F.col("case_id")), F.lit("missing_required_field:case_id"))))
+    warnings = F.array_compact(F.array(F.when(~narrative & (F.coalesce(F.size("imaging"), F.lit(0)) <= 0), F.lit("no_narrative_or_imaging_input"))))
+    return cases.withColumns({"errors": errors, "warnings": warnings, "valid": F.size(errors) == 0})
+
+
+def known_modalities(cases: DataFrame, strict: list[str] | None = None) -> DataFrame:
+    """Add whether all studies are of a known modality; a strict list narrows it."""
+    allowed = strict or MODALITIES
+    return cases.withColumn("modality_ok", F.forall(F.coalesce("imaging", F.array()), lambda s: s["modality"].isin(allowed)))
