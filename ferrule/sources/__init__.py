@@ -58,7 +58,7 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of whole files; bytes that are no UTF-8 are dropped."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.regexp_replace(F.decode("content", "UTF-8"), "�", "").alias("text"))
+    return files.select("path", F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit("")).alias("text"))
 
 
 def write_json(df: DataFrame, path: str, raw: bool = False) -> None:
