@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,11 +105,15 @@ def collapse_blanks(text: Column) -> Column:
 
 def chunks_collapsed(text: Column, size: int = 900, overlap: int = 120) -> Column:
     """As bounded, after runs of blanks become one; an empty text has one empty chunk."""
-    flat = collapse_blanks(text)
     step = max(size - overlap, 1)
-    last = F.greatest(F.ceil((F.char_length(flat) - size) / step), F.lit(0)).cast("int")
-    starts = F.transform(F.sequence(F.lit(0), last), lambda k: k * step)
-    return F.transform(starts, lambda s, i: F.struct(i.alias("idx"), s.alias("start"), F.substring(flat, s + 1, F.lit(size)).alias("chunk")))
+
+    def cut(flat: Column) -> Column:
+        last = F.greatest(F.ceil((F.char_length(flat) - size) / step), F.lit(0)).cast("int")
+        starts = F.transform(F.sequence(F.lit(0), last), lambda k: k * step)
+        return F.transform(starts, lambda s, i: F.struct(i.alias("idx"), s.alias("start"), F.substring(flat, s + 1, F.lit(size)).alias("chunk")))
+
+    # Bound to a variable, the collapsed text is made once, not for every chunk.
+    return F.element_at(F.transform(F.array(collapse_blanks(text)), cut), 1)
 
 
 #: The words of each focus, in order of precedence; any place in the text counts.
@@ -119,11 +125,15 @@ FOCUS_WORDS = [
 
 
 def focus(query: Column) -> Column:
-    low = F.lower(F.coalesce(query, F.lit("")))
-    out = F
-    for name, words in FOCUS_WORDS:
-        out = out.when(low.rlike("|".join(words)), F.lit(name))
-    return out.otherwise(F.lit("multimodal_context"))
+
+    def found(low: Column) -> Column:
+        out = F
+        for name, words in FOCUS_WORDS:
+            out = out.when(reduce(lambda a, b: a | b, (low.contains(w) for w in words)), F.lit(name))
+        return out.otherwise(F.lit("multimodal_context"))
+
+    # Bound to a variable, the lower-cased text is made once, not for every word.
+    return F.element_at(F.transform(F.array(F.lower(F.coalesce(query, F.lit("")))), found), 1)
 
 
 def byte_sums(text: Column, dimensions: int = 128) -> Column:

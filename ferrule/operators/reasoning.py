@@ -39,14 +39,15 @@ def evidence_weight(source: Column, kind: Column, grounding: Column) -> Column:
 def retrieved(query: Column) -> Column:
     """The three evidence rows of a query."""
 
-    def row(source: str, kind: str, value: Column, grounding: float) -> Column:
-        return F.struct(F.lit(source).alias("source"), F.lit(kind).alias("kind"), value.alias("value"), focus(query).alias("focus"), F.lit(grounding).alias("grounding_score"))
-
     head = F.substring(query, 1, 40)
-    return F.array(
-        row("semantic_memory", "summary", F.substring(query, 1, 120), 0.78), row("episodic_memory", "analogy", F.concat(F.lit("analogy_for:"), head), 0.64),
-        row("knowledge_graph", "relation", F.concat(F.lit("kg_link_for:"), head), 0.7),
-    )
+    items = [
+        ("semantic_memory", "summary", F.substring(query, 1, 120), 0.78), ("episodic_memory", "analogy", F.concat(F.lit("analogy_for:"), head), 0.64),
+        ("knowledge_graph", "relation", F.concat(F.lit("kg_link_for:"), head), 0.7),
+    ]
+    fixed = F.array(*(F.struct(F.lit(s).alias("source"), F.lit(k).alias("kind"), v.alias("value"), F.lit(g).alias("grounding_score")) for s, k, v, g in items))
+    # The focus reads the whole text, so it is found once and shared by the rows.
+    shared = F.transform(F.array(focus(query)), lambda at: F.transform(fixed, lambda x: x.withField("focus", at)))
+    return F.element_at(shared, 1)
 
 
 def ranked(evidence: Column) -> Column:
