@@ -14,9 +14,11 @@ sets are one class, represented by the smallest id, before anything else.
    a third of all rows spreads over tasks, in similar neighbourhoods.
 3. Confirmation.  Components of those edges are candidates.  The texts of the
    members of one come together and all pairs are confirmed on the full
-   sets.  Candidates of more than ``BLOCK`` members are cut into blocks, and every
-   pair of blocks is a task of its own, so none holds more than two blocks.
-   Again only forest edges leave a task.  Their components are the result.
+   sets.  Candidates of more than ``BLOCK`` members are first confirmed in random
+   blocks, twice; then every pair of blocks that may hold links between parts still
+   apart is compared, so a large group of true copies costs a few times its size, and
+   none of a large candidate's pairs is left out.  No task holds more than two
+   blocks at a time, and only forest edges leave it.  Their components are the result.
 
 A pair at similarity s lies in one node of a tree with probability s at least
 (for small nodes); with ten trees a pair at 0.8 is missed with probability
@@ -35,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -241,9 +243,9 @@ def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def confirmed_edges(members: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Forest edges of the true links between ``members`` (group, rep, set_a, set_b, text) of each group.
+    """Forest edges of the true links between ``members`` (component, _tile, rep, set_a, set_b, text) of each tile.
 
-    Rows must be dealt and sorted so that a group is consecutive in one task.
+    Rows must be dealt and sorted so that a tile is consecutive in one task.
     """
     percent = round(similarity * 100)
 
@@ -283,7 +285,7 @@ def confirmed_edges(members: DataFrame, width: int, similarity: float) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("group_a", "group_i", "group_j", "rep", "set_a", "set_b", "text")]
+            columns = [batch.column(c).to_pylist() for c in ("component", "_tile", "rep", "set_a", "set_b", "text")]
             for *key, rep, a, b, text in zip(*columns):
                 if key != group:
                     if len(held[1]) > 1:
@@ -298,6 +300,44 @@ def confirmed_edges(members: DataFrame, width: int, similarity: float) -> DataFr
     return members.mapInArrow(confirmed, "a long, b long")
 
 
+def _blocks(n: Column, shingles: Column) -> Column:
+    """Blocks that hold n members; a shingle stands for about eight bytes of text."""
+    return F.greatest(F.ceil(n / BLOCK), F.ceil(shingles * 8 / BLOCK_BYTES)).cast("int")
+
+
+def _dealt(tiled: DataFrame) -> DataFrame:
+    """Rows of one (component, tile) together in one task."""
+    key = ["component", "_tile"]
+    rows = tiled.select(*key, "rep", "set_a", "set_b", "text")
+    return rows.repartition(partitions(tiled.sparkSession), *key).sortWithinPartitions(*key, "rep")
+
+
+def _tiles(large: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs of blocks of each large candidate that may hold links between different parts.
+
+    Parts that fill a block have blocks of their own, all others share blocks; two
+    blocks of one part need no comparison. So a candidate that is one part has no
+    tile, and a large part meets only what lies outside it.
+    """
+    part = F.coalesce("part", "rep")
+    rows = large.join(parts.select(F.col("id").alias("rep"), F.col("component").alias("part")), "rep", "left").withColumn("part", part)
+    sizes = rows.groupBy("component", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
+    own = _blocks(F.col("n"), F.col("w"))
+    # Parts of several blocks stand alone; the number of shared blocks follows from the sum of the others.
+    sizes = sizes.withColumn("alone", own > 1)
+    shared = sizes.where("not alone").groupBy("component").agg(_blocks(F.sum("n"), F.sum("w")).alias("_shared"))
+    sizes = sizes.join(shared, "component", "left")
+    sizes = sizes.select("component", "part", F.when(F.col("alone"), F.col("part")).alias("owner"), F.when(F.col("alone"), own).otherwise(F.col("_shared")).alias("_of"))
+    rows = rows.join(sizes, ["component", "part"]).withColumn("_block", F.xxhash64("owner", F.pmod(F.xxhash64("rep"), F.col("_of"))))
+    blocks = rows.select("component", "owner", "_block").distinct()
+    left = blocks.select("component", F.col("owner").alias("_o"), F.col("_block").alias("_i"))
+    right = blocks.select("component", F.col("owner").alias("_p"), F.col("_block").alias("_j"))
+    same = F.col("_o").isNotNull() & F.col("_o").eqNullSafe(F.col("_p"))
+    pairs = left.join(right, "component").where((F.col("_i") <= F.col("_j")) & ~same)
+    tiles = pairs.select("component", F.xxhash64("_i", "_j").alias("_tile"), F.explode(F.array_distinct(F.array("_i", "_j"))).alias("_block"))
+    return rows.join(tiles, ["component", "_block"])
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document (doc_id, text).
 
@@ -315,20 +355,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
 
     candidates = stored(components(candidate_edges(classes, similarity)), "candidates")
     members = classes.select("rep", "set_a", "set_b", "n_shingles").join(candidates.withColumnRenamed("id", "rep"), "rep")
-    groups = candidates.join(classes.select(F.col("rep").alias("id"), "n_shingles"), "id").groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
-    # A shingle stands for about eight bytes of text.
-    blocks = F.greatest(F.ceil(F.col("n") / (2 * BLOCK)), F.ceil(F.col("w") * 8 / (2 * BLOCK_BYTES)))
-    groups = groups.select("component", F.when(blocks > 1, 2 * blocks).otherwise(F.lit(1)).cast("int").alias("blocks"))
+    groups = members.groupBy("component").agg(_blocks(F.count(F.lit(1)), F.sum("n_shingles")).alias("blocks"))
     members = members.join(groups, "component")
-    texts = docs.join(members, docs["doc_id"] == members["rep"]).select("component", "blocks", "rep", "set_a", "set_b", "text")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    tiled = texts.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiled = tiled.select(
-        F.col("component").alias("group_a"), F.least("_own", "_other").alias("group_i"), F.greatest("_own", "_other").alias("group_j"), "rep", "set_a", "set_b", "text"
-    )
-    key = ["group_a", "group_i", "group_j"]
-    dealt = tiled.repartition(partitions(spark), *key).sortWithinPartitions(*key, "rep")
-    true = stored(components(confirmed_edges(dealt, width, similarity)), "components")
+    texts = docs.join(members, docs["doc_id"] == members["rep"]).select("component", "blocks", "rep", "set_a", "set_b", "n_shingles", "text")
+    texts = stored(texts, "members")
+
+    # A candidate that fits one block is confirmed whole; a larger one twice in blocks at random, which
+    # joins most of what belongs together.
+    passes = F.when(F.col("blocks") > 1, F.lit(2)).otherwise(F.lit(1))
+    first = texts.withColumn("_pass", F.explode(F.sequence(F.lit(1), passes)))
+    block = F.pmod(F.xxhash64("rep", "_pass"), F.col("blocks"))
+    found = confirmed_edges(_dealt(first.withColumn("_tile", F.xxhash64("_pass", block))), width, similarity)
+    found = stored(found, "links")
+    true = components(found)
+    large = texts.where("blocks > 1")
+    if large.limit(1).count():
+        # What is still apart within a large candidate is compared in full.
+        true = stored(true, "parts")
+        rest = confirmed_edges(_dealt(_tiles(large, true)), width, similarity)
+        true = components(found.unionByName(rest))
+    true = stored(true, "components")
 
     named = names.join(true, names["rep"] == true["id"], "left").select(F.col("set_a").alias("_a"), F.col("set_b").alias("_b"), F.coalesce("component", "rep").alias("_c"))
     found = sets.select("doc_id", "n_shingles", "set_a", "set_b").join(named, (F.col("set_a") == F.col("_a")) & (F.col("set_b") == F.col("_b")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
