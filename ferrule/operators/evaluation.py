@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp, normal_label
@@ -73,13 +73,14 @@ def benchmark_slices(rows: DataFrame, slices: str = "slices") -> DataFrame:
 def attach_outcomes(predictions: DataFrame, outcomes: DataFrame, order: list[str]) -> DataFrame:
     """Every outcome with its status: the first of a known prediction is accepted.
 
-    ``outcomes`` has prediction_id; ``order`` gives the order of arrival.
+    ``outcomes`` has prediction_id (null ids are dropped); ``order`` gives a total order of arrival.
     """
-    known = predictions.select(F.col("prediction_id").alias("_known")).distinct()
-    joined = outcomes.join(known, F.col("prediction_id") == F.col("_known"), "left")
-    place = F.row_number().over(Window.partitionBy("prediction_id").orderBy(*order))
-    status = F.when(F.col("_known").isNull(), "unknown_prediction_id").when(place == 1, "attached").otherwise("outcome_already_attached")
-    return joined.withColumn("status", status).drop("_known")
+    # One row an id, by partial aggregation; an id with very many outcomes is never sorted in one task.
+    first = outcomes.groupBy("prediction_id").agg(F.min(F.struct(*order)).alias("_first"))
+    known = predictions.select("prediction_id").distinct().withColumn("_known", F.lit(True))
+    joined = outcomes.join(first.join(known, "prediction_id", "left"), "prediction_id")
+    status = F.when(F.col("_known").isNull(), "unknown_prediction_id").when(F.struct(*order) == F.col("_first"), "attached").otherwise("outcome_already_attached")
+    return joined.withColumn("status", status).drop("_known", "_first")
 
 
 def prospective_accuracy(predictions: DataFrame, attached: DataFrame) -> DataFrame:

@@ -313,14 +313,14 @@ def case_summary(spark, sf_dir):
 
 
 @query(BASE + REPLAY + """ SELECT case_id, pi_score >= 0.55 AND err <= 0.45 AND bias >= 0.45 AS accepted, CASE WHEN pi_score >= 0.55 AND err <= 0.45 AND bias >= 0.45 THEN 'promoted' ELSE 'candidate' END AS learning_status,
-    'dream-' || case_id || '-' || row_number() OVER (PARTITION BY doc_id % 16 ORDER BY doc_id) AS record_id FROM dream2""")
+    'dream-' || case_id || '-' || row_number() OVER (PARTITION BY case_id ORDER BY doc_id) AS record_id FROM dream2""")
 def rehearsal(spark, sf_dir):
     from pyspark.sql import Window
 
     d = A.with_metrics(A.with_pairs(cases(spark, sf_dir)))
     ok = P.promotion(F.col("metrics.pi_score"), F.col("metrics.prediction_error"), F.col("metrics.bias_suppression_score"))
-    # Records are numbered within each store; there are sixteen.
-    n = F.row_number().over(Window.partitionBy(F.col("doc_id") % 16).orderBy("doc_id"))
+    # Rehearsals are numbered within their case.
+    n = F.row_number().over(Window.partitionBy("case_id").orderBy("doc_id"))
     return d.select("case_id", ok.alias("accepted"), F.when(ok, "promoted").otherwise("candidate").alias("learning_status"), F.concat(F.lit("dream-"), "case_id", F.lit("-"), n.cast("string")).alias("record_id"))
 
 

@@ -85,8 +85,9 @@ def benchmark_jsonl(spark, sf_dir):
     return parsed.select(F.explode("gold_labels").alias("label"), F.expr("cast(substring(case_id, 6) as bigint)").alias("doc_id"), "case_id")
 
 
-_PRED = "p AS (SELECT DISTINCT user_id, substr(sha256('protocol-1:case-' || user_id || ':h:0'), 1, 24) AS prediction_id, CASE WHEN user_id % 2 = 0 THEN 'click' ELSE 'view' END AS label FROM events WHERE user_id % 7 <> 3)"
-_OUT = "o AS (SELECT event_id, ts, event_type, substr(sha256('protocol-1:case-' || user_id || ':h:0'), 1, 24) AS prediction_id FROM events WHERE event_type IN ('click', 'view', 'purchase'))"
+_PRED = "p AS (SELECT DISTINCT user_id, substr(sha256('protocol-1:case-' || user_id || ':h:0'), 1, 24) AS prediction_id, CASE WHEN user_id % 2 = 0 THEN 'click' ELSE 'view' END AS label FROM events)"
+_OUT = """o AS (SELECT event_id, ts, event_type, substr(sha256((CASE WHEN event_type = 'error' THEN 'protocol-2' ELSE 'protocol-1' END) || ':case-' || user_id || ':h:0'), 1, 24) AS prediction_id
+    FROM events WHERE event_type IN ('click', 'view', 'purchase', 'error'))"""
 _ATT = f"""WITH {_PRED}, {_OUT}, a AS (
     SELECT o.*, p.user_id, CASE WHEN p.prediction_id IS NULL THEN 'unknown_prediction_id' WHEN row_number() OVER (PARTITION BY o.prediction_id ORDER BY ts, event_id) = 1 THEN 'attached' ELSE 'outcome_already_attached' END AS status
     FROM o LEFT JOIN p ON o.prediction_id = p.prediction_id
@@ -94,9 +95,16 @@ _ATT = f"""WITH {_PRED}, {_OUT}, a AS (
 
 
 def _prospective(spark, sf_dir):
-    events = table(spark, sf_dir, "events").withColumn("prediction_id", F.substring(F.sha2(F.concat_ws(":", F.lit("protocol-1"), F.concat(F.lit("case-"), F.col("user_id").cast("string")), F.lit("h"), F.lit("0")), 256), 1, 24))
-    predictions = events.where("user_id % 7 <> 3").select("user_id", "prediction_id").distinct().withColumn("label", F.when(F.col("user_id") % 2 == 0, "click").otherwise("view"))
-    outcomes = events.where("event_type in ('click', 'view', 'purchase')").select("event_id", "ts", "prediction_id", F.array("event_type").alias("accepted_labels"))
+    """A prediction for every user; outcomes by their events, of which errors belong to a protocol that registered nothing."""
+    events = table(spark, sf_dir, "events")
+
+    def named(protocol):
+        return F.substring(F.sha2(F.concat_ws(":", protocol, F.concat(F.lit("case-"), F.col("user_id").cast("string")), F.lit("h"), F.lit("0")), 256), 1, 24)
+
+    predictions = events.select("user_id").distinct().select("user_id", named(F.lit("protocol-1")).alias("prediction_id"), F.when(F.col("user_id") % 2 == 0, "click").otherwise("view").alias("label"))
+    outcomes = events.where("event_type in ('click', 'view', 'purchase', 'error')")
+    protocol = F.when(F.col("event_type") == "error", "protocol-2").otherwise("protocol-1")
+    outcomes = outcomes.select("event_id", "ts", named(protocol).alias("prediction_id"), F.array("event_type").alias("accepted_labels"))
     return predictions, E.attach_outcomes(predictions, outcomes, ["ts", "event_id"])
 
 
@@ -208,8 +216,8 @@ def _query_vector(spark, sf_dir):
 
 
 def _vectors(spark, sf_dir):
-    status = F.when(F.col("vec_id") % 3 == 0, "promoted").otherwise("candidate")
-    meta = F.when(F.col("vec_id") % 4 == 1, F.create_map(F.lit("modality"), F.lit("ct"))).otherwise(F.create_map().cast("map<string,string>"))
+    status = F.when(F.col("label") < 4, "promoted").otherwise("candidate")
+    meta = F.when(F.col("label").isin(1, 2, 7), F.create_map(F.lit("modality"), F.lit("ct"))).otherwise(F.create_map().cast("map<string,string>"))
     return table(spark, sf_dir, "embeddings").withColumns({"vector": F.col("embedding"), "learning_status": status, "metadata": meta})
 
 
@@ -223,7 +231,7 @@ def vector_topk(spark, sf_dir):
     return M.top_hits(_vectors(spark, sf_dir), _query_vector(spark, sf_dir)).select("vec_id", "score", "rank")
 
 
-@query(_topk_sql("e.vec_id % 3 = 0 AND e.vec_id % 4 = 1"))
+@query(_topk_sql("e.label < 4 AND e.label IN (1, 2, 7)"))
 def vector_topk_filtered(spark, sf_dir):
     rows = _vectors(spark, sf_dir).where(M.search_filter(["promoted"], {"modality": "ct"}))
     return M.top_hits(rows, _query_vector(spark, sf_dir)).select("vec_id", "score", "rank")
@@ -316,7 +324,7 @@ def json_props(spark, sf_dir):
 # Imaging -------------------------------------------------------------------------------------------------------
 
 _STUDIES = """st AS (SELECT p_partkey AS study_id, CASE p_partkey % 5 WHEN 0 THEN 'ct' WHEN 1 THEN 'CR' WHEN 2 THEN 'MR' ELSE 'unknown' END AS modality,
-    CASE p_partkey % 6 WHEN 0 THEN '.dcm' WHEN 1 THEN '.PNG' WHEN 2 THEN '' WHEN 3 THEN '.jpeg' WHEN 4 THEN '.txt' ELSE '.tif' END AS sx, p_partkey % 4 > 0 AS has,
+    CASE p_partkey % 6 WHEN 0 THEN '.dcm' WHEN 1 THEN '.PNG' WHEN 2 THEN '' WHEN 3 THEN '.jpeg' WHEN 4 THEN '.txt' ELSE '.tif' END AS sx, p_partkey % 4 > 0 AS has, p_size,
     CASE p_partkey % 6 WHEN 0 THEN 'local_metadata' WHEN 1 THEN 'local_pixels' WHEN 2 THEN 'remote_radiology_vlm' WHEN 3 THEN 'remote_dicom_3d' WHEN 4 THEN 'hybrid_multimodal' ELSE 'other' END AS strategy FROM part),
 kd AS (SELECT *, CASE WHEN upper(modality) IN ('CT', 'MR', 'PT') THEN 'volumetric_dicom_or_series' WHEN has AND sx = '.dcm' THEN 'dicom_like_series' WHEN has AND lower(sx) IN ('.png', '.jpeg', '.tif') THEN 'projection_or_image_file' ELSE 'metadata_only' END AS kind FROM st)"""
 
@@ -327,7 +335,7 @@ def _studies(spark, sf_dir):
     path = F.concat(F.lit("/img/"), i.cast("string"), pick([".dcm", ".PNG", "", ".jpeg", ".txt", ".tif"], 6))
     strategies = ["local_metadata", "local_pixels", "remote_radiology_vlm", "remote_dicom_3d", "hybrid_multimodal", "other"]
     return table(spark, sf_dir, "part").select(
-        i.alias("study_id"), pick(["ct", "CR", "MR", "unknown", "unknown"], 5).alias("modality"), F.when(i % 4 > 0, F.array(path)).otherwise(F.array().cast("array<string>")).alias("paths"), pick(strategies, 6).alias("strategy"),
+        i.alias("study_id"), pick(["ct", "CR", "MR", "unknown", "unknown"], 5).alias("modality"), F.when(i % 4 > 0, F.array(path)).otherwise(F.array().cast("array<string>")).alias("paths"), pick(strategies, 6).alias("strategy"), "p_size",
     )
 
 
@@ -337,10 +345,10 @@ def _studies(spark, sf_dir):
     CASE strategy WHEN 'local_pixels' THEN 'local_pixel_feature_provider' WHEN 'remote_radiology_vlm' THEN 'remote_radiology_vlm_provider' WHEN 'remote_dicom_3d' THEN 'remote_dicom_3d_provider'
         WHEN 'hybrid_multimodal' THEN CASE WHEN kind = 'volumetric_dicom_or_series' THEN 'remote_dicom_3d_provider' ELSE 'remote_radiology_vlm_provider' END ELSE 'local_imaging_feature_provider' END AS provider,
     CASE WHEN kind = 'volumetric_dicom_or_series' THEN 'route_to_3d_dicom_provider' WHEN kind IN ('projection_or_image_file', 'dicom_like_series') THEN 'route_to_projection_radiology_provider' ELSE 'metadata_only_review' END AS route,
-    (has AND study_id % 3 = 0)::BIGINT AS existing_count, CASE WHEN has AND study_id % 3 = 0 THEN 'ready' ELSE 'metadata_only' END AS local_readiness FROM kd""")
+    (has AND p_size <= 25)::BIGINT AS existing_count, CASE WHEN has AND p_size <= 25 THEN 'ready' ELSE 'metadata_only' END AS local_readiness FROM kd""")
 def imaging_routing(spark, sf_dir):
     studies = _studies(spark, sf_dir)
-    there = studies.where("study_id % 3 = 0").select(F.explode("paths").alias("path"))
+    there = studies.where("p_size <= 25").select(F.explode("paths").alias("path"))
     out = I.encode_studies(studies, there)
     return out.select("study_id", "input_kind", F.array_join("suffixes", ",").alias("suffixes"), "image_count", "readiness", F.col("provider.name").alias("provider"), "route", "existing_count", "local_readiness")
 
