@@ -15,13 +15,26 @@ from pyspark.sql import functions as F
 from .scratch import stored
 
 
-def _towards_least(pairs: DataFrame, keep_larger: bool) -> DataFrame:
-    """For every node u with neighbours v: edges from v (the larger or the smaller ones) to the least of u's side."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-    joined = pairs.join(least, F.col("u") == F.col("w"))
-    if keep_larger:
-        return joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    return joined.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.where("w <> m").select(F.col("w").alias("a"), F.col("m").alias("b")))
+#: Parts of the edges that lead to one node, so that the centre of a large star is no hot key.
+SALTS = 16
+
+
+def _larger_to_least(edges: DataFrame) -> DataFrame:
+    """Every edge (a, b), a > b, led on to the smallest neighbour of b, where that is smaller than b."""
+    least = edges.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("_w"), "_m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_k"))
+    salted = edges.withColumn("_s", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
+    led = salted.join(least, (F.col("b") == F.col("_w")) & (F.col("_s") == F.col("_k")), "left")
+    return led.select("a", F.coalesce("_m", "b").alias("b")).distinct()
+
+
+def _smaller_to_least(edges: DataFrame) -> DataFrame:
+    """For every a, edges from it and from its other smaller neighbours to the smallest one.
+
+    A node has few smaller neighbours: one at most for each star that it was dealt to.
+    """
+    least = edges.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("_w"), "_m")
+    others = edges.join(least, F.col("a") == F.col("_w")).where("b <> _m").select(F.col("b").alias("a"), F.col("_m").alias("b"))
+    return others.unionByName(least.select(F.col("_w").alias("a"), F.col("_m").alias("b"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,11 +42,7 @@ def components(edges: DataFrame) -> DataFrame:
     ordered = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     current, before = stored(ordered, "edges"), None
     while True:
-        both = current.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _towards_least(both, True).distinct()
-        small = _towards_least(large.select(F.col("a").alias("u"), F.col("b").alias("v")), False).distinct()
-        current = stored(small, "edges")
+        current = stored(_smaller_to_least(_larger_to_least(current)), "edges")
         state = current.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == before:
             break
