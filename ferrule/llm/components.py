@@ -23,7 +23,8 @@ def _larger_to_least(edges: DataFrame) -> DataFrame:
     """Every edge (a, b), a > b, led on to the smallest neighbour of b, where that is smaller than b."""
     least = edges.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("_w"), "_m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_k"))
     salted = edges.withColumn("_s", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
-    led = salted.join(least, (F.col("b") == F.col("_w")) & (F.col("_s") == F.col("_k")), "left")
+    # Spread over the salts the table is many times its estimated size, so it is never broadcast.
+    led = salted.join(least.hint("merge"), (F.col("b") == F.col("_w")) & (F.col("_s") == F.col("_k")), "left")
     return led.select("a", F.coalesce("_m", "b").alias("b")).distinct()
 
 
