@@ -34,7 +34,7 @@ def op2_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = _documents(spark, sf_dir).select("doc_id", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     placed = sharding.interleave(docs, ["doc_id"], "source", SHARDS, SHARD_SEED)
-    return placed.select("doc_id", "source", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
 def op3_chosen_path_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +85,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    # The crc32 table follows from its polynomial, 0xEDB88320.
+    "op2_stratified_shards": """
+        WITH table_bits AS (
+            SELECT list(c ORDER BY n) AS t FROM (
+                SELECT n, list_reduce(list_concat([CAST(n AS UBIGINT)], list_transform(range(8), lambda k: CAST(0 AS UBIGINT))),
+                    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END) AS c
+                FROM range(256) r(n)
+            )
+        ), bytes AS (
+            SELECT doc_id, source, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size,
+                list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST(CAST('0x' || h AS INTEGER) AS UBIGINT)) AS b
+            FROM documents
+        ), docs AS (
+            SELECT doc_id, source, size,
+                CAST(xor(list_reduce(list_concat([CAST(4294967295 AS UBIGINT)], b), lambda c, x: xor(c >> 8, t[CAST(xor(c, x) % 256 + 1 AS BIGINT)])), CAST(4294967295 AS UBIGINT)) AS BIGINT) AS text_crc32,
+                CAST('0x' || substr(md5('20|' || coalesce(CAST(doc_id AS VARCHAR), chr(0))), 1, 15) AS BIGINT) AS h
+            FROM bytes, table_bits
+        ), ranked AS (
+            SELECT *, (2 * row_number() OVER (PARTITION BY source ORDER BY h, doc_id NULLS FIRST, size, text_crc32) - 1) / (2 * count(*) OVER (PARTITION BY source)) AS f
+            FROM docs
+        ), placed AS (
+            SELECT *, row_number() OVER (ORDER BY f, source NULLS FIRST, h, doc_id NULLS FIRST, size, text_crc32) - 1 AS place, count(*) OVER () AS total FROM ranked
+        ), cut AS (SELECT *, ((place + 1) * 8 - 1) // total AS k FROM placed)
+        SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(k AS INTEGER) AS shard, CAST(place - (k * total) // 8 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, source FROM cut
+    """,
     "op3_chosen_path_duplicates": """
         WITH RECURSIVE words AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
