@@ -59,7 +59,10 @@ def interleave(df: DataFrame, ids: list[str], stratum: str, shards: int, seed: i
     order = [F.col("_h"), *(F.col(f"`{c}`") for c in names)]
     within = Window.partitionBy("_s", "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     ranked = ranked.withColumn("_first", F.col("_before") + F.coalesce(F.sum("_copies").over(within), F.lit(0)))
-    ranked = ranked.withColumn("_rank", F.explode(F.sequence(F.col("_first") + 1, F.col("_first") + F.col("_copies"))))
+    # Copies become rows by runs, so that no array grows with the number of copies.
+    last = F.col("_first") + F.col("_copies")
+    ranked = ranked.withColumn("_run", F.explode(F.sequence(F.col("_first") + 1, last, F.lit(BUCKET_ROWS).cast("long"))))
+    ranked = ranked.withColumn("_rank", F.explode(F.sequence(F.col("_run"), F.least(F.col("_run") + BUCKET_ROWS - 1, last))))
 
     # The same again over all strata, by fractional rank.
     ranked = ranked.withColumn("_f", (2 * F.col("_rank") - 1) / (2 * F.col("_size")))
