@@ -16,8 +16,9 @@ seeded hash chooses them.  Site statistics cover all documents.
 Edge cases: null hosts and paths are sites named by the empty string.  Null and
 empty texts get the features of an empty text.  Null labels are not learned
 from; with fewer than two classes of labels the classifier is uninformative and
-every document gets its site's rate.  Repeated rows count each time.  An empty
-table gives an empty table.  Added columns replace columns of the same names.
+every document gets its site's rate.  Repeated rows count each time in site
+rates; rows that repeat a labelled id are learned from once.  An empty table gives
+an empty table.  Added columns replace columns of the same names.
 """
 
 from __future__ import annotations
@@ -131,14 +132,16 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     if n > max_labelled:
         known = known.where(F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(1 << 30)) < int(max_labelled / n * (1 << 30)))
     # max_labelled bounds this table of (id, 0 or 1).
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", F.col("quality").cast("int").alias("quality"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = features(batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], type=pa.binary()), batch.column(1)], names=["x", "quality"])
+            x = features(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], type=pa.binary()), batch.column(2)], names=["doc_id", "x", "quality"])
 
-    got = rows.mapInArrow(measured, "x binary, quality int").toPandas()
+    measured_rows = rows.select(F.col("doc_id").cast("long"), "text", "quality").mapInArrow(measured, "doc_id long, x binary, quality int")
+    # Rows that repeat an id count once, so no more than max_labelled rows or so come to the driver.
+    got = measured_rows.groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("r")).select("r.x", "r.quality").toPandas()
     x = np.stack([np.frombuffer(b, dtype=np.float32) for b in got["x"]]) if len(got) else np.zeros((0, N_FEATURES), np.float32)
     # A fixed order, so that the fit does not hang on the order of tasks.
     order = np.lexsort((got["quality"].to_numpy(), *x.T[:8])) if len(got) else []

@@ -65,6 +65,12 @@ def test_site_rates_shrink(spark):
     assert sites["tiny/x"].path_rate > 0.047 and sites["big/a"].n_host == 400  # a lone document moves its site little
 
 
+def test_quality_learns_once_from_repeated_ids(spark, documents):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    once, twice = quality.train(documents, labels), quality.train(documents.union(documents), labels.union(labels))
+    assert once.base == twice.base and np.allclose(once.weights, twice.weights)
+
+
 def test_quality_edges(spark):
     docs = odd_documents(spark)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -105,7 +111,9 @@ def test_shards_against_brute_force(spark, documents, monkeypatch):
     assert all(r.size == len(texts[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) for r in rows)
 
 
-def test_shards_edges(spark, tmp_path):
+@pytest.mark.parametrize("bucket", [7, 4000])
+def test_shards_edges(spark, tmp_path, monkeypatch, bucket):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", bucket)
     rows = [(7, "a")] * 50 + [(None, None)] * 5 + [(i, "b") for i in range(9)]
     got = sharding.interleave(spark.createDataFrame(rows, "id long, source string"), ["id"], "source", 4).collect()
     sizes = [sum(r.shard == k for r in got) for k in range(4)]
