@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import first_present, focus, present, r3, reasons
 from .areas import belief
-from .policy import decide, policy_stack, replay_filter
+from .policy import context_gate, decide, policy_stack, replay_filter
 
 #: Priorities of evidence by source and by kind; others have DEFAULT_PRIORITY.
 SOURCE_PRIORITY = {"semantic_memory": 0.9, "knowledge_graph": 0.8, "episodic_memory": 0.7, "retrieval": 0.75, "bundle": 0.72, "fusion": 0.68, "service": 0.6}
@@ -260,3 +260,17 @@ def run_cases(cases: DataFrame) -> DataFrame:
     out = case_evidence(with_metrics(with_pairs(cases)))
     out = with_differential(with_support(with_intuition(with_replay(out))))
     return with_decision(with_critique(policy_stack(out)))
+
+
+def run_refined(cases: DataFrame, provider: Column, risk: Column | None = None, uncertainty: Column | None = None, score: Column | None = None, coherence: Column | None = None, replay_risk: Column | None = None) -> DataFrame:
+    """The smaller pipeline: evidence as texts, no areas; policy, context gate and replay of ``cases``.
+
+    The measures are columns, so every branch can be reached; their defaults are those of the fixed pipeline.
+    """
+
+    def known(x: Column | None, default: float) -> Column:
+        return F.lit(default) if x is None else x
+
+    evidence = F.array(F.lit("bundle:patient,diagnostic_report"), F.lit("retrieval:grounded_retrieval_ready"), F.concat(F.lit("service:"), F.coalesce(provider, F.lit("none"))))
+    out = policy_stack(cases.withColumns({"evidence": evidence, "risk": known(risk, 0.2), "uncertainty": known(uncertainty, 0.1)}))
+    return out.withColumns({"context": context_gate(known(score, 0.7)), "replay": replay_filter(known(coherence, 0.9), known(replay_risk, 0.1))})

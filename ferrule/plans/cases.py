@@ -360,3 +360,14 @@ def specialist_signals(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     s = A.specialist_signal((i % 16) * 0.125 - 0.25, (i % 8) * 0.25 - 0.25, F.array_repeat(F.lit("s"), (i % 4).cast("int")))
     return d.select("doc_id", s.alias("s")).select("doc_id", "s.*")
+
+
+@query("""SELECT doc_id, 'bundle:patient,diagnostic_report;retrieval:grounded_retrieval_ready;service:' || CASE WHEN doc_id % 2 = 0 THEN 'local_imaging_feature_provider' ELSE 'none' END AS evidence,
+        CASE WHEN u >= 0.65 OR r > 0.35 THEN 'blocked' WHEN r > 0.35 OR u > 0.65 THEN 'guarded' ELSE 'clear' END AS band, s >= 0.6 AS context_allowed,
+        CASE WHEN NOT (c >= 0.7 AND q <= 0.3) THEN 'corrective_replay' WHEN c < (0.7 + 0.1) OR q > (0.3 - 0.1) THEN 'boundary_replay' ELSE 'stabilizing_replay' END AS replay_mode
+    FROM (SELECT doc_id, (doc_id % 13) * 0.05 AS r, (doc_id % 17) * 0.06 AS u, (doc_id % 8) * 0.125 AS s, 0.5 + (doc_id % 11) * 0.05 AS c, (doc_id % 9) * 0.05 AS q FROM documents)""")
+def refined_cases(spark, sf_dir):
+    i = F.col("doc_id")
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    done = R.run_refined(d, F.when(i % 2 == 0, "local_imaging_feature_provider"), (i % 13) * 0.05, (i % 17) * 0.06, (i % 8) * 0.125, 0.5 + (i % 11) * 0.05, (i % 9) * 0.05)
+    return done.select("doc_id", F.array_join("evidence", ";").alias("evidence"), F.col("policy.band").alias("band"), F.col("context.allow").alias("context_allowed"), F.col("replay.replay_mode").alias("replay_mode"))

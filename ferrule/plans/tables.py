@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import adapters as D
 from ..operators import evaluation as E
 from ..operators import imaging as I
 from ..operators import memory as M
@@ -483,3 +484,43 @@ def memory_edges(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     own = F.concat(F.lit("turn:"), F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"))
     return Y.edges(c.select(F.concat(F.lit("case:"), F.col("conv_id").cast("string")).alias("id"), F.array(F.struct(F.lit("hasTurn").alias("predicate"), own.alias("to"))).alias("relations")))
+
+
+# Adapters ------------------------------------------------------------------------------------------------------
+
+_CONFIGURED = "SELECT event_id, event_id % 2 = 0 AS e, CASE event_id % 3 WHEN 0 THEN 'https://host' WHEN 1 THEN '' END AS p, event_id % 5 = 0 AS d, event_id % 7 <> 0 AS c FROM events"
+
+
+def _configured(spark, sf_dir):
+    i = F.col("event_id")
+    return table(spark, sf_dir, "events").select("event_id", (i % 2 == 0).alias("e"), F.when(i % 3 == 0, "https://host").when(i % 3 == 1, "").alias("p"), (i % 5 == 0).alias("d"), (i % 7 != 0).alias("c"))
+
+
+@query(f"""SELECT event_id, CASE WHEN ok THEN 'request_prepared' ELSE 'not_called' END AS status, CASE WHEN ok THEN 'network_call_stub' ELSE 'contract_only' END AS mode, 0.0 AS confidence, 1.0 AS uncertainty,
+        CASE WHEN ok THEN 'actual_inference_adapter_required;research_use_only' ELSE 'network_call_not_implemented;research_use_only' END AS limitations,
+        CASE WHEN ok THEN 'network_call_not_implemented_in_research_stub' ELSE 'remote_provider_not_configured' END AS imaging_reason, true AS fallback_required
+    FROM (SELECT event_id, e AND coalesce(p, '') <> '' AS ok FROM ({_CONFIGURED}))""")
+def adapter_requests(spark, sf_dir):
+    a = _configured(spark, sf_dir).select("event_id", D.specialist_response(F.col("e"), F.col("p")).alias("s"), D.imaging_response(F.col("e"), F.col("p")).alias("r"))
+    own = [F.col(f"s.{c}").alias(c) for c in ("status", "mode", "confidence", "uncertainty")]
+    return a.select("event_id", *own, F.array_join("s.limitations", ";").alias("limitations"), F.col("r.reason").alias("imaging_reason"), F.col("r.fallback_required").alias("fallback_required"))
+
+
+@query(f"""SELECT event_id, e AND NOT d AND coalesce(p, '') <> '' AND c AS ready,
+        concat_ws(';', CASE WHEN NOT e THEN 'adapter_disabled' END, CASE WHEN d THEN 'dry_run_enabled' END, CASE WHEN coalesce(p, '') = '' THEN 'endpoint_missing' END, CASE WHEN NOT c THEN 'weaviate_client_unavailable' END) AS reasons
+    FROM ({_CONFIGURED})""")
+def store_readiness(spark, sf_dir):
+    a = _configured(spark, sf_dir).select("event_id", D.live_readiness(F.col("e"), F.col("d"), F.col("p"), F.col("c")).alias("r"))
+    return a.select("event_id", F.col("r.ready").alias("ready"), F.array_join("r.reasons", ";").alias("reasons"))
+
+
+@query(f"""WITH d AS (
+        SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'docling' ELSE 'plain_text_fallback' END AS parser, CASE WHEN doc_id % 4 = 0 THEN '# ' || coalesce(text, '') WHEN doc_id % 5 <> 0 THEN text END AS t FROM documents
+    ), n AS (
+        SELECT doc_id, count(*) AS n FROM (SELECT doc_id, {_STRIP.format("substr(t, idx * 1040 + 1, 1200)")} AS chunk FROM (SELECT doc_id, t, unnest(range(0, ((length(t) + 1039) // 1040)::INT)) AS idx FROM d WHERE t IS NOT NULL)) WHERE chunk <> '' GROUP BY 1
+    ) SELECT d.doc_id, CASE WHEN t IS NULL THEN 'failed' ELSE 'completed' END AS status, parser, CASE WHEN t IS NOT NULL THEN coalesce(n, 0)::INT END AS chunk_count FROM d LEFT JOIN n USING (doc_id)""")
+def parsed_documents(spark, sf_dir):
+    i = F.col("doc_id")
+    plain, status = F.when(i % 5 != 0, F.col("text")), F.when(i % 4 == 0, "completed").when(i % 4 == 1, "failed").when(i % 4 == 2, "not_executed")
+    d = table(spark, sf_dir, "documents").select("doc_id", D.parsed_document(plain, status, F.concat(F.lit("# "), F.coalesce("text", F.lit("")))).alias("o"))
+    return d.select("doc_id", "o.*")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ferrule.functions.scalars import r3
+from ferrule.operators import adapters as D
 from ferrule.operators import areas as A
 from ferrule.operators import policy as P
 from ferrule.operators import reasoning as R
@@ -66,3 +67,18 @@ def test_abstention_and_revision_branches(spark):
 def test_null_texts(spark):
     r = R.run_cases(case(spark).withColumn("report_text", F.lit(None).cast("string"))).first()
     assert r.evidence[0]["item"].value == "case-001"
+
+
+def test_adapters_without_configuration(spark):
+    rows = spark.createDataFrame([(True, False, "x", True, "ab", "completed"), (None, None, None, None, None, None), (True, True, "", False, None, "failed")], "e boolean, d boolean, p string, c boolean, text string, outcome string")
+    e, d, p, c = (F.col(x) for x in "edpc")
+    got = rows.select(D.specialist_response(e, p).alias("s"), D.imaging_response(e, p).alias("i"), D.live_readiness(e, d, p, c).alias("l"), D.parsed_document(F.col("text"), F.col("outcome"), F.lit(None).cast("string")).alias("o")).collect()
+    assert [r.s.status for r in got] == ["request_prepared", "not_called", "not_called"] == [r.i.status for r in got]
+    assert [r.l.ready for r in got] == [True, False, False] and got[1].l.reasons == ["adapter_disabled", "endpoint_missing", "weaviate_client_unavailable"]
+    assert got[2].l.reasons == ["dry_run_enabled", "endpoint_missing", "weaviate_client_unavailable"]
+    assert [(r.o.status, r.o.parser, r.o.chunk_count) for r in got] == [("completed", "docling", 0), ("failed", "plain_text_fallback", None), ("failed", "plain_text_fallback", None)]
+
+
+def test_refined_pipeline_by_default(spark):
+    r = R.run_refined(spark.createDataFrame([("c",)], "case_id string"), F.lit(None).cast("string")).first()
+    assert r.evidence[2] == "service:none" and r.policy.band == "clear" and r.context.allow and r.replay.replay_mode == "stabilizing_replay"
