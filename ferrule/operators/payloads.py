@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +47,50 @@ def sparse(docs: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
     return rows.groupBy(*ids, token_index(F.col("t")).alias("idx")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _dense(text: str, dimensions: int) -> list[float]:
+    """Bucket sums of the positional byte hash (as byte_sums), divided by their length, to six digits; zeros for an empty text."""
+    data = np.frombuffer(text.encode(), dtype=np.uint8).astype(np.int64)
+    sums = np.bincount((data + np.arange(len(data))) % dimensions, weights=data % 31 + 1, minlength=dimensions)
+    norm = math.sqrt(float((sums * sums).sum())) or 1.0
+    return [round(x / norm, 6) for x in sums.tolist()]
+
+
+def point_vectors(text: Column, dimensions: int = 128) -> Column:
+    """The dense vector of a whole text, and the indexes (ascending) and counts of its sparse one; null is an empty text.
+
+    Each row is a point of its own, also where ids repeat, and an empty text has one
+    too, so this does not group exploded bytes and tokens by id.
+    """
+
+    @F.arrow_udf("dense array<double>, indexes array<int>, counts array<double>")
+    def built(texts: pa.Array) -> pa.Array:
+        places: dict[str, int] = {}
+        dense, indexes, counts = [], [], []
+        for value in texts:
+            own = value.as_py() or ""
+            dense.append(_dense(own, dimensions))
+            sums: dict[int, float] = {}
+            for token, n in Counter(own.lower().split()).items():
+                if (at := places.get(token)) is None:
+                    at = places[token] = sum(map(ord, token)) % 100_000
+                sums[at] = sums.get(at, 0.0) + n
+            indexes.append(sorted(sums))
+            counts.append([sums[i] for i in indexes[-1]])
+        parts = [pa.array(dense, pa.list_(pa.float64())), pa.array(indexes, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float64()))]
+        return pa.StructArray.from_arrays(parts, names=["dense", "indexes", "counts"])
+
+    return built(text)
+
+
+def point(own_id: Column, text: Column, metadata: Column, source: Column) -> Column:
+    """The point of a record: its id, the dense and the sparse vector of its whole text, and the payload."""
+    text = F.coalesce(text, F.lit(""))
+    found = point_vectors(text)
+    vector = F.struct(found["dense"].alias("text_dense"), F.struct(found["indexes"].alias("indexes"), found["counts"].alias("values")).alias("text_sparse"))
+    payload = F.struct(text.alias("text"), metadata.alias("metadata"), source.alias("source"), F.lit("clinical_semantic_memory").alias("memory_type"))
+    return F.struct(own_id.alias("id"), vector.alias("vector"), payload.alias("payload"))
+
+
 def semantic_document(columns: list[str], text: list[str], ids: list[str], fallback: Column) -> tuple[Column, Column]:
     """The first text and the first id that are not empty, among the columns at hand."""
     texts = [F.col(c).cast("string") for c in text if c in columns]

@@ -265,6 +265,30 @@ def vector_points(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("documents:"), F.col("doc_id").cast("string")).alias("point_id"), tokens.alias("tokens"), F.lit("reciprocal_rank_fusion_candidate").alias("fusion"))
 
 
+@query(r"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+    b AS (SELECT doc_id, ('0x' || x)::INT AS b, i FROM (SELECT doc_id, unnest(regexp_extract_all(hex(encode(t)), '..')) AS x, unnest(range(strlen(t))) AS i FROM d)),
+    s AS (SELECT doc_id, ((b + i) % 128)::INT AS bucket, sum(b % 31 + 1)::BIGINT AS total FROM b GROUP BY 1, 2),
+    n AS (SELECT doc_id, sqrt(sum(total * total)) AS norm FROM s GROUP BY 1),
+    v AS (SELECT d.doc_id, string_agg(format('{:.6f}', coalesce(total / norm, 0)::DOUBLE), ',' ORDER BY k) AS dense
+        FROM d CROSS JOIN (SELECT unnest(range(128)) AS k) LEFT JOIN s ON s.doc_id = d.doc_id AND bucket = k LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY 1),
+    w AS (SELECT doc_id, (list_sum(list_transform(string_split(x, ''), lambda c: ord(c))) % 100000)::INT AS idx, count(*) AS n
+        FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(t), '\s+'), lambda x: x <> '')) AS x FROM d) GROUP BY 1, 2),
+    p AS (SELECT doc_id, string_agg(idx::VARCHAR, ',' ORDER BY idx) AS sparse_indexes, string_agg(n::VARCHAR, ',' ORDER BY idx) AS sparse_values FROM w GROUP BY 1)
+    SELECT d.doc_id, 'documents:' || d.doc_id AS point_id, dense, coalesce(sparse_indexes, '') AS sparse_indexes, coalesce(sparse_values, '') AS sparse_values, length(t)::INT AS n, sha256(t) AS sha,
+        lang, source, 'clinical_semantic_memory' AS memory_type FROM d JOIN v USING (doc_id) LEFT JOIN p USING (doc_id)""")
+def vector_point_build(spark, sf_dir):
+    """The point of every document from its whole text; the payload's text by length and hash."""
+    docs = table(spark, sf_dir, "documents")
+    own = Y.point(F.concat(F.lit("documents:"), F.col("doc_id").cast("string")), F.col("text"), F.create_map(F.lit("lang"), F.col("lang")), F.col("source"))
+    p = docs.select("doc_id", own.alias("p")).select("doc_id", "p.id", "p.vector.*", "p.payload.*")
+    listed = lambda x, f: F.array_join(F.transform(x, f), ",")
+    whole = lambda v: v.cast("long").cast("string")
+    return p.select(
+        "doc_id", F.col("id").alias("point_id"), listed("text_dense", lambda v: F.format_string("%.6f", v)).alias("dense"), listed("text_sparse.indexes", whole).alias("sparse_indexes"),
+        listed("text_sparse.values", whole).alias("sparse_values"), F.char_length("text").alias("n"), F.sha2("text", 256).alias("sha"), F.col("metadata")["lang"].alias("lang"), "source", "memory_type",
+    )
+
+
 # Memory --------------------------------------------------------------------------------------------------------
 
 _LOG = """log AS (SELECT user_id || '-' || strftime(ts, '%Y-%m-%d') AS record_id, ts, event_id, value, CASE event_type WHEN 'purchase' THEN 'promoted' WHEN 'error' THEN 'rejected' ELSE 'candidate' END AS status FROM events)"""

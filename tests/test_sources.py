@@ -9,6 +9,7 @@ from ferrule import streaming
 from ferrule.functions import scalars
 from ferrule.operators import evaluation as E
 from ferrule.operators import memory as M
+from ferrule.operators import payloads as Y
 
 
 def test_json_case_and_validation(spark, tmp_path):
@@ -90,3 +91,22 @@ def test_streams_match_batch(spark, tmp_path):
     run = firsts.writeStream.format("memory").queryName("firsts").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp2")).start()
     run.awaitTermination(120)
     assert spark.table("firsts").count() == events.select("user_id").distinct().count()
+
+
+def test_points_take_the_whole_text(spark):
+    tail = "Wörter " * 30
+    texts = [tail + "one", tail + "two two", "", None, tail + "one", "a" * 70_000 + " Zß é"]
+    docs = spark.createDataFrame([(min(i, 3), t) for i, t in enumerate(texts)], "i int, text string")
+    own = Y.point(F.col("i").cast("string"), F.col("text"), F.create_map(F.lit("k"), F.lit("v")), F.lit("here"))
+    got = [r.p for r in docs.select(own.alias("p")).collect()]
+    assert len(got) == len(texts) and got[0].vector.text_dense != got[1].vector.text_dense
+    for t, p in zip(texts, got):
+        sums, counts = [0] * 128, {}
+        for i, b in enumerate((t or "").encode()):
+            sums[(b + i) % 128] += b % 31 + 1
+        norm = sum(x * x for x in sums) ** 0.5 or 1.0
+        for token in (t or "").lower().split():
+            counts[sum(map(ord, token)) % 100_000] = counts.get(sum(map(ord, token)) % 100_000, 0) + 1
+        assert p.vector.text_dense == [round(x / norm, 6) for x in sums]
+        assert dict(zip(p.vector.text_sparse.indexes, p.vector.text_sparse["values"])) == counts and p.vector.text_sparse.indexes == sorted(counts)
+        assert (p.payload.text, p.payload.metadata, p.payload.source, p.payload.memory_type) == (t or "", {"k": "v"}, "here", "clinical_semantic_memory")
