@@ -183,6 +183,15 @@ def memory_documents(spark, sf_dir):
     return rows.select("doc_id", *(F.col("d.metadata")[k].alias(k) for k in ("kind", "origin", "lang", "focus")), F.col("d.text").alias("head"))
 
 
+@query("""SELECT doc_id, 'doc' AS kind, source AS origin, lang, CASE WHEN doc_id % 3 = 0 THEN 'override' ELSE 'base' END AS focus, length(coalesce(text, ''))::INT AS n, sha256(coalesce(text, '')) AS sha FROM documents""")
+def memory_document_texts(spark, sf_dir):
+    """The memory document of every whole text; its text by length and hash."""
+    more = F.when(F.col("doc_id") % 3 == 0, F.create_map(F.lit("focus"), F.lit("override"))).otherwise(F.create_map().cast("map<string,string>"))
+    doc = Y.memory_document(F.coalesce("text", F.lit("")), {"kind": F.lit("doc"), "origin": F.col("source"), "lang": F.col("lang"), "focus": F.lit("base")}, more)
+    rows = table(spark, sf_dir, "documents").select("doc_id", doc.alias("d"))
+    return rows.select("doc_id", *(F.col("d.metadata")[k].alias(k) for k in ("kind", "origin", "lang", "focus")), F.char_length("d.text").alias("n"), F.sha2("d.text", 256).alias("sha"))
+
+
 # Vectors -------------------------------------------------------------------------------------------------------
 
 _BYTES = """SELECT item_id, ((b + i) % 128)::INT AS bucket, sum(b % 31 + 1)::BIGINT AS total FROM (

@@ -1,5 +1,6 @@
 """Readers, writers, evaluation fixtures and streams."""
 
+import hashlib
 import json
 
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from ferrule.functions import scalars
 from ferrule.operators import evaluation as E
 from ferrule.operators import memory as M
 from ferrule.operators import payloads as Y
+from ferrule.plans.registry import QUERIES
 
 
 def test_json_case_and_validation(spark, tmp_path):
@@ -110,3 +112,12 @@ def test_points_take_the_whole_text(spark):
         assert p.vector.text_dense == [round(x / norm, 6) for x in sums]
         assert dict(zip(p.vector.text_sparse.indexes, p.vector.text_sparse["values"])) == counts and p.vector.text_sparse.indexes == sorted(counts)
         assert (p.payload.text, p.payload.metadata, p.payload.source, p.payload.memory_type) == (t or "", {"k": "v"}, "here", "clinical_semantic_memory")
+
+
+def test_memory_documents_with_one_opening_stay_apart(spark, tmp_path):
+    head = "The same opening of sixty characters and some more of it, as boilerplate has. "
+    rows = [(1, head + "one", "en", "s"), (2, head + "two", "en", "s"), (3, None, "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in QUERIES["memory_document_texts"](spark, str(tmp_path)).collect()}
+    assert got[1].sha != got[2].sha and [got[i].focus for i in (1, 2, 3)] == ["base", "base", "override"]
+    assert all((got[i].n, got[i].sha) == (len(t or ""), hashlib.sha256((t or "").encode()).hexdigest()) for i, t, *_ in rows)
