@@ -7,11 +7,14 @@ sets are one class, represented by the smallest id, before anything else.
    each; the first ``TREES`` of them also in full.
 2. Trees.  Tree t deals the classes by minwise token t; a node with more than
    ``NODE`` members branches on further tokens, each child holding the members
-   that agree on one, and so on until nodes are small.  The members of a small
+   that agree on one, and so on until nodes are small: on ``BRANCHES`` tokens
+   each for ``DEPTH`` levels, then on one.  The members of a small
    node are all compared by signature; likely pairs give the edges of a forest, so
    a node of n members gives n - 1 edges at most.  The order that deals rows to
    tasks continues the path by further tokens and the id, so even a node of
-   a third of all rows spreads over tasks, in similar neighbourhoods.
+   a third of all rows spreads over tasks, in similar neighbourhoods.  A node
+   that fills half a task or more, and so may be cut, is dealt again along other
+   paths, the more often the more tasks it fills.
 3. Confirmation.  Components of those edges are candidates.  The texts of the
    members of one come together and all pairs are confirmed on the full
    sets.  Candidates of more than ``BLOCK`` members are first confirmed in random
@@ -121,7 +124,7 @@ def _likely(signs: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
-def _compare(ids: np.ndarray, signs: np.ndarray, least: int, seed: int, depth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _compare(ids: np.ndarray, signs: np.ndarray, least: int, seed: int, used: tuple[int, ...] = ()) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Forest edges (id, smaller id) of the likely pairs in one node, branching while it is large."""
     n = len(ids)
     if n < 2:
@@ -138,16 +141,16 @@ def _compare(ids: np.ndarray, signs: np.ndarray, least: int, seed: int, depth: i
         near[k] = False
         if near.any():
             yield ids[near], np.full(int(near.sum()), ids[k])
-    if depth == DEPTH:
-        for at in range(0, n, NODE):
-            yield from _compare(ids[at : at + NODE], signs[at : at + NODE], least, seed, depth)
-        return
-    for branch in range(BRANCHES):
-        token = int(mix64(np.array([seed * 64 + depth * BRANCHES + branch + 1], dtype=_U))[0] % _U(SIGNATURE))
+        if near.sum() == n - 1:
+            return
+    # Members that agree on every token are near each other, so a token is left here.
+    free = np.setdiff1d(np.arange(SIGNATURE), used)
+    for branch in range(BRANCHES if len(used) < DEPTH else 1):
+        token = int(free[int(mix64(np.array([seed * 64 + len(used) * BRANCHES + branch + 1], dtype=_U))[0] % _U(len(free)))])
         values, child = np.unique(signs[:, token], return_inverse=True)
         for c in range(len(values)):
             own = child == c
-            yield from _compare(ids[own], signs[own], least, seed * 31 + branch + 7, depth + 1)
+            yield from _compare(ids[own], signs[own], least, (seed * 31 + branch + 7) & 0xFFFFFFFFFF, (*used, token))
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -199,10 +202,16 @@ def candidate_edges(classes: DataFrame, similarity: float) -> DataFrame:
             yield from edges(*rest)
 
     dealt = classes.select("rep", F.posexplode("roots").alias("tree", "root"), "signature")
-    path = F.substring(F.col("signature"), F.col("tree") * 8 + (TREES + 1), F.lit(8)).alias("path")
-    dealt = dealt.select("tree", "root", path, "rep", "signature")
+    tasks = partitions(classes.sparkSession)
+    in_task = max(classes.count() * TREES / tasks, 1)
+    # There are two of these nodes a task at most.
+    cut = dealt.groupBy("tree", "root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(NODE, in_task / 2))
+    cut = cut.select("tree", "root", (1 + F.ceil(F.log2(1 + F.col("n") / in_task))).cast("int").alias("deals"))
+    dealt = dealt.join(F.broadcast(cut), ["tree", "root"], "left").withColumn("deal", F.explode(F.sequence(F.lit(0), F.coalesce("deals", F.lit(1)) - 1)))
+    path = F.substring(F.col("signature"), (F.col("tree") * 8 + TREES + F.col("deal") * 37) % (SIGNATURE - 7) + 1, F.lit(8)).alias("path")
+    dealt = dealt.select((F.col("tree") + F.col("deal") * TREES).alias("tree"), "root", path, "rep", "signature")
     order = ["tree", "root", "path", "rep"]
-    dealt = dealt.repartitionByRange(partitions(classes.sparkSession), *order).sortWithinPartitions(*order)
+    dealt = dealt.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
     return dealt.select("tree", "root", "rep", "signature").mapInArrow(linked, "a long, b long")
 
 

@@ -194,6 +194,40 @@ def test_large_nodes_branch():
     assert len(linked) > 1350
 
 
+def test_large_nodes_are_compared_below_the_depth(monkeypatch):
+    monkeypatch.setattr(near_dedup, "NODE", 16)
+    monkeypatch.setattr(near_dedup, "DEPTH", 0)
+    rng = np.random.default_rng(4)
+    drawn = lambda n: rng.integers(0, 256, (n, near_dedup.SIGNATURE)).astype(np.uint8)
+    boilerplate, own = drawn(1), drawn(1000)
+    half = np.where(rng.random(own.shape) < 0.6, boilerplate, own)
+    near = np.where(rng.random(own.shape) < 0.95, half, drawn(1000))
+    signs, ids, found = np.concatenate([half, near]), np.arange(2000), set()
+    for seed in range(1, 11):
+        for a, b in near_dedup._compare(ids, signs, 100, seed):
+            found |= set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
+    assert all(b == a + 1000 for a, b in found) and len(found) == 1000
+
+
+def test_nodes_cut_by_tasks_are_dealt_again(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "NODE", 16)
+    monkeypatch.setattr(near_dedup, "TREES", 1)
+    monkeypatch.setattr(near_dedup, "partitions", lambda _: 16)
+    rng = np.random.default_rng(8)
+    drawn = lambda n: rng.integers(0, 256, (n, near_dedup.SIGNATURE)).astype(np.uint8)
+    half = np.where(rng.random((600, near_dedup.SIGNATURE)) < 0.6, drawn(1), drawn(600))
+    near = np.where(rng.random(half.shape) < 0.85, half, drawn(600))
+    signs = np.concatenate([half, near])
+    # One root for all: the ranges of a single deal part many pairs.
+    rows = [(i, [7], bytearray(x.tobytes())) for i, x in enumerate(signs)]
+    classes = spark.createDataFrame(rows, "rep long, roots array<int>, signature binary")
+    got = {frozenset((r.a, r.b)) for r in near_dedup.candidate_edges(classes, 0.85).collect()}
+    parts = np.array_split(np.lexsort(signs[:, 8:0:-1].T), 16)
+    once = {frozenset((int(x), int(y))) for p in parts for a, b in near_dedup._compare(p, signs[p], 92, 1) for x, y in zip(a, b)}
+    true = {frozenset((i, i + 600)) for i in range(600)}
+    assert len(got & true) > len(once & true) + 50
+
+
 def test_near_copies_edges(spark):
     docs = odd_documents(spark)
     rows = near_dedup.near_duplicates(docs, 4).collect()
