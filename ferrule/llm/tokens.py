@@ -6,12 +6,18 @@ after the other.  Words repeat, so each worker keeps the ids of words it has see
 and calls the library for new ones only.  A new word is looked up once more in lower
 case and without the marks at its end, whose ids follow those of the rest.  Words
 of letters alone go straight to the library's merges, as their normalising and
-splitting change nothing; all others take its whole path.  ``WordEncoder`` checks on
-construction that the vocabulary behaves so, and otherwise encodes whole texts.
+splitting change nothing; all others take its whole path.
+
+Whether a vocabulary is of that kind is read from its file: normaliser, splitting
+and model must be exactly those below, and added tokens must be matched in the
+text as it is.  Any other vocabulary encodes whole texts.  A text that holds the
+string of an added token, which the library takes for that token, is always
+encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 from collections.abc import Iterable
@@ -24,9 +30,19 @@ import numpy as np
 CACHE_WORDS, CACHE_CHARS = 900_000, 48
 #: Texts that are looked up before new words are encoded.
 GROUP = 50
-#: Only these split words here; the library treats every other blank itself.
-_PROBE = ["a b", "a  b", "a\nb\t c", " a", "a ", "it's 's a'\n's", "x.\n.y 12 3", "é́ ́ e"]
-_WORDS = ["Words", "straße", "ÉÈ", "noël,", "x.", "日本", "ñ", "a", "ΑΣ", "İx", "don't.", "end..", "é.", "Thonst,", "naïveté", "THE!!", "a%%%,", "x_"]
+#: The normaliser, splitting and settings of the model for which words stand alone.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITTING = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+_ADDED = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
+#: ``str.split`` cuts at these too, the library does not.
+_NO_BLANKS = "\x1c\x1d\x1e\x1f"
 #: A run of these after a letter is one slice of the text (an apostrophe may begin a contraction).
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -38,13 +54,17 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.type = np.dtype(np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32)
         self.cache: dict[str, bytes] = {}
         self.letters = str.maketrans(self._byte_letters())
         self.packed = [n.tobytes() for n in np.arange(self.library.get_vocab_size(), dtype=self.type)]
-        self.by_word = all(self._whole(t) == b"".join(self._whole(w) for w in self.split(t)) for t in _PROBE)
-        self.direct = self.by_word and all(self._ids_of(_WORDS)[w] == self._whole(w) for w in _WORDS)
+        parts = json.loads(self.library.to_str())
+        added = parts["added_tokens"]
+        self.added = [t["content"] for t in added]
+        self.by_word = (
+            parts["normalizer"] == _NORMALIZER and parts["pre_tokenizer"] == _SPLITTING and parts["post_processor"] is None and parts["truncation"] is None and parts["padding"] is None
+            and all(t[k] == v for t in added for k, v in _ADDED.items()) and all(parts["model"][k] == v for k, v in _MODEL.items())
+        )
 
     @staticmethod
     def _byte_letters() -> dict[int, int]:
@@ -56,7 +76,9 @@ class WordEncoder:
 
     @staticmethod
     def split(text: str) -> list[str]:
-        return text.split() if text.isascii() else text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        if text.isascii() and not any(c in text for c in _NO_BLANKS):
+            return text.split()
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.type).tobytes()
@@ -114,6 +136,9 @@ class WordEncoder:
         cache, out, lacking, new = self.cache, [], [], set()
         get = cache.get
         for text in texts:
+            if text and any(a in text for a in self.added):
+                out.append([self._whole(text)])
+                continue
             words = self.split(text) if text else []
             ids = list(map(get, words))
             # Comparing by identity never looks into the ids.
@@ -123,7 +148,7 @@ class WordEncoder:
                 lacking.append((words, ids, gaps))
             out.append(ids)
         if new:
-            found = self._ids_of(new) if self.direct else self._new_words(list(new))
+            found = self._ids_of(new)
             for words, ids, gaps in lacking:
                 for at in gaps:
                     ids[at] = found[words[at]]

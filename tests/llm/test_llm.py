@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 
 import duckdb
@@ -10,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from ferrule.llm import bitplane, byte_bpe, components, fingerprint, language_id, near_dedup, packing, quality, queries, sharding, textbuf, tokens, topk, url_filter
 
@@ -258,19 +260,40 @@ def test_word_hashes_do_not_hang_on_place():
 # 4, 6 ----------------------------------------------------------------------------------------------------------
 
 
+LIBRARY = Tokenizer.from_file(WORDS)  # untouched
+
+
 def library_ids(texts):
-    t = tokens.encoder(WORDS).library
-    return [x.ids for x in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    return [x.ids for x in LIBRARY.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+
+
+def own_ids(texts):
+    own = tokens.encoder(WORDS)
+    return [np.frombuffer(b, own.type).tolist() for b in own.encode(texts)]
 
 
 def test_word_encoder_equals_the_library(documents):
     texts = [t for _, t in texts_of(documents)] + [*ODD, None]
     random.seed(2)
-    alphabet = "abC.,'!? \n\t\u00a0\u2003é́ß日Σς12_-%😀ʼ\x85\u200b"
+    alphabet = "abC.,'!? \n\t\u00a0\u2003é́ß日Σς12_-%😀ʼ\x85\u200b\x1c\x1d\x1e\x1f\x0b\x0c"
     texts += ["".join(random.choice(alphabet) for _ in range(random.randint(0, 30))) for _ in range(3000)]
-    own = tokens.encoder(WORDS)
-    assert own.by_word and own.direct
-    assert [np.frombuffer(b, own.type).tolist() for b in own.encode(texts)] == library_ids(texts)
+    texts += ["<|endoftext|> x", "a<|startoftext|>b <|ENDOFTEXT|>", "<|endoftext|>" * 3, "a\x1cb", "a\x1cb é", "\x1f"]
+    assert tokens.encoder(WORDS).by_word
+    assert own_ids(texts) == library_ids(texts)
+
+
+def test_word_encoder_over_code_points():
+    points = [chr(c) for c in range(0x32000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) not in ("Cn", "Co")]
+    texts = [f"{c}a{c}B {c} x{c}{c}'s a{c}." for c in points]
+    assert own_ids(texts) == library_ids(texts)
+
+
+def test_other_vocabularies_are_encoded_whole():
+    other = tokens.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a  b", "it's\n12", "", "<|endoftext|> x"]
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not other.by_word
+    assert [np.frombuffer(b, other.type).tolist() for b in other.encode(texts)] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
 
 
 @pytest.mark.parametrize("bits", [False, True])
