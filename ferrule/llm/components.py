@@ -12,8 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stored
-
+from .scratch import discard, stored_at
 
 #: Parts of the edges that lead to one node, so that the centre of a large star is no hot key.
 SALTS = 16
@@ -40,10 +39,13 @@ def _smaller_to_least(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id in ``edges`` (a, b); component is the smallest id of its component."""
+    spark = edges.sparkSession
     ordered = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    current, before = stored(ordered, "edges"), None
+    (current, path), before = stored_at(ordered, "edges"), None
     while True:
-        current = stored(_smaller_to_least(_larger_to_least(current)), "edges")
+        # The edges of the last step are read no more once those of the next are written.
+        last, (current, path) = path, stored_at(_smaller_to_least(_larger_to_least(current)), "edges")
+        discard(spark, last)
         state = current.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == before:
             break

@@ -99,12 +99,13 @@ ORACLE_SQL: dict[str, str] = {
             FROM documents
         ), docs AS (
             SELECT doc_id, source, size,
-                CAST(xor(list_reduce(list_concat([CAST(4294967295 AS UBIGINT)], b), lambda c, x: xor(c >> 8, t[CAST(xor(c, x) % 256 + 1 AS BIGINT)])), CAST(4294967295 AS UBIGINT)) AS BIGINT) AS text_crc32,
-                CAST('0x' || substr(md5('20|' || coalesce(CAST(doc_id AS VARCHAR), chr(0))), 1, 15) AS BIGINT) AS h
+                CAST(xor(list_reduce(list_concat([CAST(4294967295 AS UBIGINT)], b), lambda c, x: xor(c >> 8, t[CAST(xor(c, x) % 256 + 1 AS BIGINT)])), CAST(4294967295 AS UBIGINT)) AS BIGINT) AS text_crc32
             FROM bytes, table_bits
+        ), hashed AS (
+            SELECT *, CAST('0x' || substr(md5(concat_ws('|', '20', coalesce(CAST(doc_id AS VARCHAR), chr(0)), coalesce(source, chr(0)), size, text_crc32)), 1, 15) AS BIGINT) AS h FROM docs
         ), ranked AS (
             SELECT *, (2 * row_number() OVER (PARTITION BY source ORDER BY h, doc_id NULLS FIRST, size, text_crc32) - 1) / (2 * count(*) OVER (PARTITION BY source)) AS f
-            FROM docs
+            FROM hashed
         ), placed AS (
             SELECT *, row_number() OVER (ORDER BY f, source NULLS FIRST, h, doc_id NULLS FIRST, size, text_crc32) - 1 AS place, count(*) OVER () AS total FROM ranked
         ), cut AS (SELECT *, ((place + 1) * 8 - 1) // total AS k FROM placed)

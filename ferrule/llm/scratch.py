@@ -4,7 +4,8 @@ Lineage is cut by writing a Parquet table below ``spark.checkpoint.dir`` and
 reading it again: the files survive the loss of any executor.  Where the
 setting is missing and Spark runs in local mode (tests), a temporary folder is
 used; on a cluster a missing setting is an error, since a machine-local folder
-would not be seen by the other machines.
+would not be seen by the other machines.  Tables that no later one reads are deleted
+at once; ``clear`` deletes the others when an application is done with its results.
 """
 
 from __future__ import annotations
@@ -14,7 +15,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: A task of an explicit shuffle is given about so many bytes at most.
+TASK_BYTES = 256 << 20
 _LOCAL: dict[str, str] = {}
+_MADE: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,21 +34,47 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/ferrule-{uuid.uuid4().hex[:12]}-{name}"
+    path = f"{shared_dir(spark)}/ferrule-{uuid.uuid4().hex[:12]}-{name}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and return a reader over what was written."""
+    return stored_at(df, name)[0]
+
+
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``stored``, with the path, for tables that ``discard`` may delete later."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that no later table reads any more."""
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc.hadoopConfiguration()).delete(at, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; no result that still reads them may be used afterwards."""
+    for path in _MADE.pop(spark.sparkContext.applicationId, []):
+        discard(spark, path)
+
 
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 32 << 20) -> None:
+    """Keep Arrow batches small in rows and bytes, so that batches of long texts fit a Python worker.
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches small, so that batches of long texts fit a Python worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) != rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    Plans read these settings when they run, so they stay for the session; smaller ones are left alone.
+    """
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        now = int(spark.conf.get(f"spark.sql.execution.arrow.{name}", "0").rstrip("b") or 0)
+        if not 0 < now <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
-def partitions(spark: SparkSession) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1)
+def partitions(spark: SparkSession, size: int = 0) -> int:
+    """Tasks for a shuffle of ``size`` bytes: the session's number, or more where tasks would exceed ``TASK_BYTES``."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-size // TASK_BYTES), 1)

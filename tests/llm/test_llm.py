@@ -89,8 +89,9 @@ def test_quality_edges(spark):
 
 def brute_shards(rows, shards, seed):
     by = {}
-    for doc_id, source in rows:
-        h = int(hashlib.md5(f"{seed}|{doc_id}".encode()).hexdigest()[:15], 16)
+    for doc_id, source, text in rows:
+        raw = text.encode()
+        h = int(hashlib.md5(f"{seed}|{doc_id}|{source}|{len(raw) + 1}|{zlib.crc32(raw)}".encode()).hexdigest()[:15], 16)
         by.setdefault(source, []).append((h, doc_id))
     order = []
     for source, own in by.items():
@@ -106,7 +107,8 @@ def brute_shards(rows, shards, seed):
 
 def test_shards_against_brute_force(spark, documents, monkeypatch):
     monkeypatch.setattr(sharding, "BUCKET_ROWS", 17)
-    want = brute_shards([(r.doc_id, r.source) for r in documents.select("doc_id", "source").collect()], 8, queries.SHARD_SEED)
+    monkeypatch.setattr(sharding, "RUN_BUCKETS", 3)
+    want = brute_shards([(r.doc_id, r.source, r.text) for r in documents.collect()], 8, queries.SHARD_SEED)
     rows = queries.op2_stratified_shards(spark, SF).collect()
     assert {r.doc_id: (r.shard, r.slot) for r in rows} == want
     texts = dict(texts_of(documents))
@@ -128,6 +130,17 @@ def test_shards_edges(spark, tmp_path, monkeypatch, bucket):
     assert spark.read.parquet(str(tmp_path / "s")).count() == 64
 
 
+def test_rows_without_ids_spread_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 500)
+    seen = []
+    plain = sharding._summed_before
+    monkeypatch.setattr(sharding, "_summed_before", lambda counts, *a: seen.append(counts) or plain(counts, *a))
+    rows = spark.range(50_000).select(F.lit(None).cast("long").alias("id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"))
+    got = sharding.interleave(rows, ["id"], "source", 4)
+    assert {r.shard: r.n for r in got.groupBy("shard").agg(F.count_distinct("slot").alias("n")).collect()} == dict.fromkeys(range(4), 12_500)
+    assert max(r["_n"] for r in seen[0].collect()) < 1_000
+
+
 # 3 -------------------------------------------------------------------------------------------------------------
 
 
