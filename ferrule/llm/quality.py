@@ -8,17 +8,20 @@ aggregation over all documents.  Empirical Bayes shrinks them: a host's rate
 towards the global rate, a path's towards its host's, by strengths that the
 spread between hosts and between paths determines; sparse sites stay near the
 prior.  A document's posterior odds are its likelihood ratio times the prior
-odds of its path.
+odds of its path, where path, host and total leave the document itself out, so
+that its text counts once.
 
 ``MAX_LABELLED`` bounds the labelled rows that the classifier is fitted on; a
 seeded hash chooses them.  Site statistics cover all documents.
 
 Edge cases: null hosts and paths are sites named by the empty string.  Null and
-empty texts get the features of an empty text.  Null labels are not learned
-from; with fewer than two classes of labels the classifier is uninformative and
-every document gets its site's rate.  Repeated rows count each time in site
+empty texts get the features of an empty text; very long texts are measured whole.
+Null labels are not learned from; with fewer than two classes of labels the
+classifier is uninformative and every document gets its site's rate.  Where labels
+of one id differ, the greatest counts.  Repeated rows count each time in site
 rates; rows that repeat a labelled id are learned from once.  An empty table gives
-an empty table.  Added columns replace columns of the same names.
+an empty table.  ``classify`` returns only its own columns, ``good_documents`` those
+of its input, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .naming import numbered, own, picked, place, restored
 from .scratch import bounded_batches, stored
 from .textbuf import LOWER, range_hashes, text_slices, word_ranges
 
@@ -40,6 +44,9 @@ MAX_LABELLED = 20_000
 BROADCAST_SITES = 100_000
 #: The strongest prior that the spread between sites can ask for, in documents.
 MAX_STRENGTH = 10_000.0
+#: Parts of a site's documents in a join by a shuffle, told apart by the columns of these types.
+SALTS = 16
+_PLAIN = {"bigint", "int", "smallint", "tinyint", "double", "float", "boolean", "date", "timestamp", "string"}
 _CLASSES = 16
 
 
@@ -127,12 +134,13 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     """Fit on documents (doc_id, text) with labels (doc_id, quality 0 or 1)."""
     spark = docs.sparkSession
     bounded_batches(spark)
+    docs, labels = picked(docs, "doc_id", "text"), picked(labels, "doc_id", "quality")
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     n = known.count()
     if n > max_labelled:
         known = known.where(F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(1 << 30)) < int(max_labelled / n * (1 << 30)))
     # max_labelled bounds this table of (id, 0 or 1).
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
+    rows = docs.join(F.broadcast(known), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,11 +149,10 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
     measured_rows = rows.select(F.col("doc_id").cast("long"), "text", "quality").mapInArrow(measured, "doc_id long, x binary, quality int")
     # Rows that repeat an id count once, so no more than max_labelled rows or so come to the driver.
-    got = measured_rows.groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("r")).select("r.x", "r.quality").toPandas()
+    got = measured_rows.groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("r")).select("doc_id", "r.x", "r.quality").toPandas()
+    got = got.sort_values("doc_id")  # a fixed order, so that the fit does not hang on the order of tasks
     x = np.stack([np.frombuffer(b, dtype=np.float32) for b in got["x"]]) if len(got) else np.zeros((0, N_FEATURES), np.float32)
-    # A fixed order, so that the fit does not hang on the order of tasks.
-    order = np.lexsort((got["quality"].to_numpy(), *x.T[:8])) if len(got) else []
-    return fit(x[order], got["quality"].to_numpy(dtype=np.float64)[order])
+    return fit(x, got["quality"].to_numpy(dtype=np.float64))
 
 
 def evidence(df: DataFrame, classifier: Classifier, text: str = "text") -> Column:
@@ -170,61 +177,87 @@ def _strength(within: DataFrame, n: str, rate: str, centre: Column) -> Column:
     return F.when((k > 1) & (between > 1e-9), F.least(m * (1 - m) / between, F.lit(MAX_STRENGTH))).otherwise(F.lit(MAX_STRENGTH))
 
 
-def site_posteriors(scored: DataFrame, base: float) -> DataFrame:
-    """For every (host, path): documents, and the shrunken rates of the host and of the path.
+@dataclass(frozen=True)
+class Sites:
+    """Documents and expected good ones of every (host, path), their total, and how much the priors weigh."""
 
-    ``scored`` has host, path and evidence for every document.
-    """
-    lift = float(np.log(base / (1 - base)))
-    good = 1 / (1 + F.exp(-(F.col("evidence") + lift)))
-    paths = scored.groupBy("host", "path").agg(F.count(F.lit(1)).cast("double").alias("n_path"), F.sum(good).alias("s_path"))
+    table: DataFrame  # host, path, n_host, s_host, n_path, s_path
+    n: float
+    s: float
+    base: float
+    host_strength: float
+    path_strength: float
+
+    def rates(self, own: Column | float = 0.0, rows: float = 0.0) -> tuple[Column, Column]:
+        """The shrunken rates of host and path, without ``rows`` documents that ``own`` good ones are expected of."""
+        c = F.col
+        rate = (F.lit(self.s) - own + self.base) / (self.n - rows + 1)
+        host = (c("s_host") - own + self.host_strength * rate) / (c("n_host") - rows + self.host_strength)
+        return host, (c("s_path") - own + self.path_strength * host) / (c("n_path") - rows + self.path_strength)
+
+
+def _expected(base: float) -> Column:
+    """The expected number of good documents that a document's evidence stands for."""
+    return 1 / (1 + F.exp(-(F.col("evidence") + float(np.log(base / (1 - base))))))
+
+
+def site_posteriors(scored: DataFrame, base: float) -> Sites:
+    """Site statistics of ``scored``, which has host, path and evidence for every document."""
+    paths = scored.groupBy("host", "path").agg(F.count(F.lit(1)).cast("double").alias("n_path"), F.sum(_expected(base)).alias("s_path"))
     paths = stored(paths, "sites").withColumn("r_path", F.col("s_path") / F.col("n_path"))
     hosts = paths.groupBy("host").agg(F.sum("n_path").alias("n_host"), F.sum("s_path").alias("s_host")).withColumn("r_host", F.col("s_host") / F.col("n_host"))
     total = hosts.agg(F.coalesce(F.sum("n_host"), F.lit(0.0)).alias("n"), F.coalesce(F.sum("s_host"), F.lit(0.0)).alias("s")).first()
     rate = (total.s + base) / (total.n + 1)
     a = hosts.agg(_strength(hosts, "n_host", "r_host", F.lit(rate)).alias("k")).first().k
-    hosts = hosts.withColumn("host_rate", (F.col("s_host") + a * rate) / (F.col("n_host") + a))
-    both = paths.join(hosts.select("host", "n_host", "r_host", "host_rate"), "host")
+    both = paths.join(hosts, "host")
     b = both.agg(_strength(both, "n_path", "r_path", F.col("r_host")).alias("k")).first().k
-    return both.select(
-        "host", "path", F.col("n_host").cast("long").alias("n_host"), F.col("n_path").cast("long").alias("n_path"),
-        F.round("host_rate", 9).alias("host_rate"),
-        F.round((F.col("s_path") + b * F.col("host_rate")) / (F.col("n_path") + b), 9).alias("path_rate"),
-    )
-
-
-def posterior(scored: DataFrame, sites: DataFrame, least: float = 0.5) -> DataFrame:
-    """``scored`` with the rates of its sites, quality (posterior of good) and keep (quality >= least)."""
-    own = sites.withColumnsRenamed({"host": "_h", "path": "_p"})
-    if sites.count() <= BROADCAST_SITES:
-        own = F.broadcast(own)
-    rate = F.greatest(F.least(F.col("path_rate"), F.lit(1 - 1e-6)), F.lit(1e-6))
+    return Sites(both.select("host", "path", "n_host", "s_host", "n_path", "s_path"), total.n, total.s, base, a, b)
+
+
+def posterior(scored: DataFrame, sites: Sites, least: float = 0.5) -> DataFrame:
+    """``scored`` (host, path, evidence and others) with the rates of its sites without the document, quality and keep.
+
+    quality is the posterior of good; a document is kept where it is ``least`` or more.
+    """
+    table = sites.table.withColumnsRenamed({"host": "_h", "path": "_p"})
+    same = (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p"))
+    if table.count() <= BROADCAST_SITES:
+        joined = scored.join(F.broadcast(table), same)
+    else:
+        # A site may have very many documents, so both sides are salted.
+        salt = F.pmod(F.xxhash64(*(c for c, kind in scored.dtypes if kind in _PLAIN)), F.lit(SALTS)).cast("int")
+        table = table.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = scored.withColumn("_salt", salt).join(table, same & (F.col("_salt") == F.col("_k"))).drop("_salt", "_k")
+    host, path = sites.rates(_expected(sites.base), 1.0)
+    rate = F.greatest(F.least(path, F.lit(1 - 1e-6)), F.lit(1e-6))
     odds = F.col("evidence") + F.log(rate / (1 - rate))
-    joined = scored.join(own, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p"))).drop("_h", "_p")
-    return joined.withColumn("quality", F.round(1 / (1 + F.exp(-odds)), 6)).withColumn("keep", F.col("quality") >= least)
+    joined = joined.withColumns({"host_rate": F.round(host, 9), "path_rate": F.round(path, 9), "quality": F.round(1 / (1 + F.exp(-odds)), 6)})
+    whole = {c: F.col(c).cast("long") for c in ("n_host", "n_path")}
+    return joined.withColumn("keep", F.col("quality") >= least).withColumns(whole).drop("_h", "_p", "s_host", "s_path")
 
 
 def _sited(docs: DataFrame, classifier: Classifier, host: Column, path: Column) -> DataFrame:
-    text = F.coalesce(host.cast("string"), F.lit(""))
-    return docs.withColumns({"host": text, "path": F.concat(text, F.lit("/"), F.coalesce(path.cast("string"), F.lit(""))), "evidence": evidence(docs, classifier)})
+    """The columns of ``docs`` by place, with host, path and evidence."""
+    wide = docs.select("*", host, path)
+    n = len(docs.columns)
+    site = F.coalesce(F.col(f"_c{n}").cast("string"), F.lit(""))
+    rows = numbered(wide).withColumns({"host": site, "path": F.concat(site, F.lit("/"), F.coalesce(F.col(f"_c{n + 1}").cast("string"), F.lit("")))})
+    return rows.withColumn("evidence", evidence(rows, classifier, f"_c{place(docs, 'text')}")).drop(f"_c{n}", f"_c{n + 1}")
 
 
 def classify(docs: DataFrame, classifier: Classifier, host: Column, path: Column, least: float = 0.5) -> DataFrame:
     """(doc_id, host, path, evidence, n_host, n_path, host_rate, path_rate, quality, keep) of every document."""
-    scored = _sited(docs.select("doc_id", "text", host.alias("_host"), path.alias("_path")), classifier, F.col("_host"), F.col("_path"))
-    scored = stored(scored.select("doc_id", "host", "path", "evidence"), "evidence")
-    return posterior(scored, site_posteriors(scored, classifier.base), least)
+    scored = _sited(docs, classifier, host, path).select(own(docs, "doc_id").alias("doc_id"), "host", "path", "evidence")
+    scored = stored(scored, "evidence")
+    names = ["doc_id", "host", "path", "evidence", "n_host", "n_path", "host_rate", "path_rate", "quality", "keep"]
+    return posterior(scored, site_posteriors(scored, classifier.base), least).select(*names)
 
 
 def good_documents(docs: DataFrame, classifier: Classifier, host: Column, path: Column, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that ``classify`` would keep, with all columns.
 
-    Texts are scored again where they are read, which costs less than carrying
-    them through a join by id, and needs no ids.
+    Rows are stored with their evidence, so every text is scored once and no id is needed.
     """
-    names = docs.columns
-    plain = docs.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)), F.col("text").alias("text"), host.alias("_host"), path.alias("_path"))
-    scored = _sited(plain, classifier, F.col("_host"), F.col("_path"))
+    scored = stored(_sited(docs, classifier, host, path), "scored")
     sites = site_posteriors(scored.select("host", "path", "evidence"), classifier.base)
-    kept = posterior(scored, sites, least).where("keep")
-    return kept.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(names)))
+    return posterior(scored, sites, least).where("keep").select(*restored(docs))
