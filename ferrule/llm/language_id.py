@@ -12,10 +12,17 @@ are summed up.
 more, a seeded hash of id and text chooses about so many.  Prediction reads every
 whole text.
 
+The posterior compares the learned languages only, and is near 1 for nearly any
+longer text.  So each text also has its strangeness: how far the mean
+log-probability of its n-grams under the best language lies on the way from that
+of training texts (0) to that of n-grams drawn evenly (1), less an allowance for
+short texts.  ``identified`` rejects texts that are unknown by either measure.
+
 Edge cases: a text that is null or has no letter is ``und`` with score 0, as are
-all texts if there is nothing to learn from.  Rows with a null language are not
-learned from.  Ties go to the language that sorts first.  Repeated rows are
-scored alike; an empty table gives an empty table.
+all texts if there is nothing to learn from.  Very long texts are read whole.
+Rows with a null language are not learned from.  Ties go to the language that
+sorts first.  Repeated rows are scored alike; an empty table gives an empty table.
+``identified`` returns the columns of its input, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .naming import numbered, own, picked, restored
 from .scratch import bounded_batches
 from .textbuf import SLICE_BYTES
 
@@ -38,6 +46,8 @@ FEATURES = 1 << 16
 MAX_LANGUAGES = 1024
 MAX_TRAIN = 20_000
 UNKNOWN = "und"
+#: Mean log-probabilities of texts of n n-grams may lie this over the root of n lower by chance.
+CHANCE = 8.0
 _MULTIPLIERS = [np.uint32(m) for m in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)]
 _LETTERS: list[np.ndarray] = []
 
@@ -88,9 +98,11 @@ class LanguageModel:
     languages: list[str]
     prior: np.ndarray
     matrix: np.ndarray  # features x languages, logarithms
+    typical: np.ndarray  # mean log-probability of an n-gram in the training texts of each language
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        names, scores = [], []
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """For every text its language, the posterior, and its strangeness."""
+        names, scores, strange = [], [], []
         for grams, bounds, n_letters in ngrams(texts):
             sums = np.zeros((len(n_letters), len(self.languages)))
             full = np.flatnonzero(np.diff(bounds))
@@ -100,19 +112,24 @@ class LanguageModel:
             if not self.languages:
                 names += [UNKNOWN] * len(n_letters)
                 scores.append(np.zeros(len(n_letters)))
+                strange.append(np.zeros(len(n_letters)))
                 continue
+            n = np.maximum(np.diff(bounds), 1)
+            mean = sums / n[:, None]
             sums += self.prior
             best = sums.argmax(axis=1)
+            gap = self.typical[best] - mean[np.arange(len(best)), best] - CHANCE / np.sqrt(n)
+            strange.append(np.where(known, np.maximum(gap, 0) / (self.typical[best] + np.log(FEATURES)), 0.0))
             share = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
             names += [self.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist())]
             scores.append(np.where(known, share, 0.0))
-        return names, np.concatenate(scores) if scores else np.zeros(0)
+        return names, np.concatenate(scores) if scores else np.zeros(0), np.concatenate(strange) if strange else np.zeros(0)
 
 
 def train(labelled: DataFrame, max_train: int = MAX_TRAIN, smoothing: float = 0.5) -> LanguageModel:
     """Learn from rows of (doc_id, text, lang)."""
     bounded_batches(labelled.sparkSession)
-    rows = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
+    rows = picked(labelled, "doc_id", "text", "lang").where("lang is not null and text is not null")
     n = rows.select("lang").count()
     if n > max_train:
         draw = F.pmod(F.xxhash64(F.lit(17), "doc_id", "text"), F.lit(1 << 30))
@@ -149,24 +166,28 @@ def train(labelled: DataFrame, max_train: int = MAX_TRAIN, smoothing: float = 0.
         seen = own["feature"].to_numpy()
         matrix[seen[seen >= 0], k] += own["n"].to_numpy()[seen >= 0]
         prior[k] = own["n"].to_numpy()[seen < 0].sum()
+    seen = matrix - smoothing
     matrix = np.log(matrix / matrix.sum(axis=0)).astype(np.float32)
-    return LanguageModel(languages, np.log(prior / prior.sum()) if languages else prior, matrix)
+    typical = (seen * matrix).sum(axis=0) / np.maximum(seen.sum(axis=0), 1)
+    return LanguageModel(languages, np.log(prior / prior.sum()) if languages else prior, matrix, typical)
 
 
 def predict(df: DataFrame, model: LanguageModel, text: str = "text") -> Column:
-    """A struct column of lang_pred and score for the texts of ``df``."""
+    """A struct column of lang_pred, score and strangeness for the texts of ``df``."""
     bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, strangeness double")
     def scored(texts: pd.Series) -> pd.DataFrame:
-        names, scores = shared.value.predict([None if t is None else t for t in texts.tolist()])
-        return pd.DataFrame({"lang_pred": names, "score": scores})
+        names, scores, strange = shared.value.predict([None if t is None else t for t in texts.tolist()])
+        return pd.DataFrame({"lang_pred": names, "score": scores, "strangeness": strange})
 
     return scored(F.col(f"`{text}`"))
 
 
-def identified(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is known with a score of ``least`` at least; its columns."""
-    found = docs.withColumn("_language", predict(docs, model))
-    return found.where((F.col("_language.lang_pred") != UNKNOWN) & (F.col("_language.score") >= least)).drop("_language")
+def identified(docs: DataFrame, model: LanguageModel, least: float = 0.5, strangest: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose language is known, with a score of ``least`` at least and strangeness of ``strangest`` at most."""
+    rows = numbered(docs).withColumn("_text", own(docs, "text"))
+    rows = rows.withColumn("_language", predict(rows, model, "_text"))
+    known = (F.col("_language.lang_pred") != UNKNOWN) & (F.col("_language.score") >= least) & (F.col("_language.strangeness") <= strangest)
+    return rows.where(known).select(*restored(docs))
