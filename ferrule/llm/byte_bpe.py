@@ -15,8 +15,12 @@ The slices between boundaries are encoded by merging pairs in rank order, and ea
 worker keeps the ids of slices it has seen.  Decoding gathers the bytes of ids
 from one table by offsets.
 
-Edge cases: null and empty texts have no ids and decode to nothing.  Slices of
-any length are merged in n log n steps.  Repeated rows are encoded alike.
+Edge cases: null and empty texts have no ids and decode to nothing.  A very long
+text is cut into windows of about ``SLICE_BYTES`` characters before a blank that
+follows another character, where a token always begins, so memory is bounded
+by the window (a longer run without blanks is one window).  Slices of any length
+are merged in n log n steps.  Repeated rows are encoded alike.  An empty table
+gives an empty table; only the columns named are read, and only those returned.
 """
 
 from __future__ import annotations
@@ -33,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .naming import picked
 from .scratch import bounded_batches
 from .textbuf import SLICE_BYTES
 
@@ -220,8 +225,33 @@ class ByteBpe:
                     found[i] = held
         return found
 
+    @staticmethod
+    def windows(text: str) -> Iterator[str]:
+        """Parts of a text that are encoded alone as they are within it."""
+        at = 0
+        while len(text) - at > SLICE_BYTES:
+            cut = at + SLICE_BYTES
+            while cut < len(text) and not (text[cut] in " \n" and not text[cut - 1].isspace()):
+                cut += 1
+            yield text[at:cut]
+            at = cut
+        yield text[at:]
+
     def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, str]]:
         """For every text its ids, and the same as decimals joined by commas."""
+        at = 0
+        while at < len(texts):
+            if len(texts[at] or "") <= SLICE_BYTES:
+                short = at
+                while at < len(texts) and len(texts[at] or "") <= SLICE_BYTES:
+                    at += 1
+                yield from self._encode_short(texts[short:at])
+            else:
+                parts = [x for w in self.windows(texts[at]) for x in self._encode_short([w])]
+                yield np.concatenate([p[0] for p in parts]), ",".join([p[1] for p in parts if p[1]])
+                at += 1
+
+    def _encode_short(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, str]]:
         at = 0
         while at < len(texts):
             part, size = [], 0
@@ -256,6 +286,7 @@ def codec(path: str) -> ByteBpe:
 def encode_texts(df: DataFrame, ranks: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, ids, ends): the ids of every whole text and where each one's bytes end."""
     bounded_batches(df.sparkSession)
+    df = picked(df, id_column, text)
     kind = df.schema[id_column].dataType.simpleString()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,12 +296,13 @@ def encode_texts(df: DataFrame, ranks: str, id_column: str = "doc_id", text: str
             columns = [batch.column(0), pa.array([x.astype(np.int32) for x in ids], type=pa.list_(pa.int32())), pa.array([own.ends(x) for x in ids], type=pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=[id_column, "ids", "ends"])
 
-    return df.select(id_column, text).mapInArrow(encoded, f"`{id_column}` {kind}, ids array<int>, ends array<long>")
+    return df.mapInArrow(encoded, f"`{id_column}` {kind}, ids array<int>, ends array<long>")
 
 
 def decode_ids(df: DataFrame, ranks: str, id_column: str = "doc_id") -> DataFrame:
     """(id, text) from (id, ids); bytes that are no UTF-8 are replaced."""
     bounded_batches(df.sparkSession)
+    df = picked(df, id_column, "ids")
     kind = df.schema[id_column].dataType.simpleString()
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +311,7 @@ def decode_ids(df: DataFrame, ranks: str, id_column: str = "doc_id") -> DataFram
             texts = [None if x is None else own.decode(np.array(x, dtype=np.int64)).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, type=pa.string())], names=[id_column, "text"])
 
-    return df.select(id_column, "ids").mapInArrow(decoded, f"`{id_column}` {kind}, text string")
+    return df.mapInArrow(decoded, f"`{id_column}` {kind}, text string")
 
 
 def round_trip_digests(docs: DataFrame, ranks: str) -> DataFrame:
@@ -293,5 +325,5 @@ def round_trip_digests(docs: DataFrame, ranks: str) -> DataFrame:
             n, a, b = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, type=pa.int64()), pa.array(a, type=pa.string()), pa.array(b, type=pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = picked(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     return rows.mapInArrow(digested, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

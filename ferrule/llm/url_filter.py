@@ -7,14 +7,16 @@ the one with the longer host, and of equal rules the blocking one.  Urls
 without a fitting rule get the default verdict.
 
 The compiled trie is broadcast.  It is built from a list that the caller holds
-in memory; ``MAX_RULES`` bounds it.
+in memory.  A trie holds ``MAX_RULES`` rules at most; longer lists are judged in
+several passes, of whose best rules the best one counts.
 
 Host and path: the host is what follows the first ``://`` up to ``/``, ``?``,
 ``#`` or the end, with A-Z in lower case; the path is what follows up to ``?``,
 ``#`` or the end.  A null url, or one without ``://``, has an empty host and
-path and so gets the default verdict (unless a rule has an empty host).
-Repeated rows are judged alike; an empty table gives an empty table.  Columns
-named like the added ones are replaced.
+path and so gets the default verdict (unless a rule has an empty host).  Urls of
+any length are judged whole.  Repeated rows are judged alike; an empty table gives an
+empty table.  Columns named like the added ones (in any case) are replaced; all
+others are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,11 +25,13 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_RULES = 5_000_000
-RESULT = "host string, path string, rule string, verdict string"
+from .naming import numbered, own, restored
+
+MAX_RULES = 1_000_000
+RESULT = "host string, path string, rule string, verdict string, length int, host_length int, blocks boolean"
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -52,9 +56,7 @@ class RuleTrie:
 
     def __init__(self, rules: Iterable[Rule]):
         self.root: dict = {}
-        for n, rule in enumerate(rules):
-            if n >= MAX_RULES:
-                raise ValueError(f"more than {MAX_RULES} rules; judge them in several passes")
+        for rule in rules:
             if rule.verdict not in ("allow", "block"):
                 raise ValueError(f"verdict {rule.verdict!r}")
             node = self.root
@@ -101,8 +103,8 @@ def host_and_path(url: str | None) -> tuple[str, str]:
     return rest[:end].translate(_LOWER), path[:stop]
 
 
-def judge_urls(df: DataFrame, rules: Iterable[Rule], url: str = "url", default: str = "allow") -> DataFrame:
-    """``df`` with host, path, rule (text of the rule that decided, else null) and verdict."""
+def _pass(df: DataFrame, rules: list[Rule], url: Column) -> Column:
+    """A struct of host, path and the best of ``rules``, with the order of precedence; nulls where none fits."""
     trie = df.sparkSession.sparkContext.broadcast(RuleTrie(rules))
 
     @F.pandas_udf(RESULT)
@@ -111,10 +113,24 @@ def judge_urls(df: DataFrame, rules: Iterable[Rule], url: str = "url", default:
         for u in urls:
             host, path = host_and_path(u)
             rule = found(host, path)
-            rows.append((host, path, None, default) if rule is None else (host, path, rule.text, rule.verdict))
-        return pd.DataFrame(rows, columns=["host", "path", "rule", "verdict"])
+            rows.append((host, path, None, None, None, None, None) if rule is None else (host, path, rule.text, rule.verdict, len(rule.text), len(rule.host), rule.verdict == "block"))
+        out = pd.DataFrame(rows, columns=["host", "path", "rule", "verdict", "length", "host_length", "blocks"])
+        return out.astype({"length": "Int32", "host_length": "Int32", "blocks": "boolean"})
+
+    return judge(url)
 
-    names = ("host", "path", "rule", "verdict")
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in names]
-    judged = df.select(*kept, judge(F.col(f"`{url}`")).alias("_judged"))
-    return judged.select(*kept, *(F.col(f"_judged.{c}").alias(c) for c in names))
+
+def judge_urls(df: DataFrame, rules: Iterable[Rule], url: str = "url", default: str = "allow") -> DataFrame:
+    """``df`` with host, path, rule (text of the rule that decided, else null) and verdict."""
+    rules, names = list(rules), ("host", "path", "rule", "verdict")
+    passes = [rules[i : i + MAX_RULES] for i in range(0, len(rules), MAX_RULES)] or [[]]
+    judged = numbered(df)
+    for k, part in enumerate(passes):
+        judged = judged.withColumn(f"_p{k}", _pass(df, part, own(df, url)))
+    # A struct of the order of precedence comes first; nulls are passed over.
+    best = [F.when(F.col(f"_p{k}.length").isNotNull(), F.struct(*(F.col(f"_p{k}.{c}") for c in ("length", "host_length", "blocks", "rule", "verdict")))) for k in range(len(passes))]
+    judged = judged.withColumn("_best", F.greatest(*best) if len(best) > 1 else best[0])
+    return judged.select(
+        *restored(df, without=names), F.col("_p0.host").alias("host"), F.col("_p0.path").alias("path"),
+        F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"),
+    )
