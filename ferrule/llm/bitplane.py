@@ -1,11 +1,12 @@
-"""Token ids in a binary file format of shuffled planes.
+"""Token ids in a binary file format of shuffled planes; files are binary cells of a Parquet table.
 
 A file holds whole documents: a header, an index of the documents, an index of
 the chunks, and the chunks.  The ids of all its documents, one after the other,
 are cut into blocks of ``BLOCK`` ids (the last may be shorter).  A block is
 transposed into byte planes (all low bytes, all next bytes, ...) or into bit
 planes, and each plane is compressed by zstandard on its own; the chunk index
-has the length of every compressed plane, so one block can be read alone.
+has the length of every compressed plane, so ``read_block`` reads one block alone
+and ``read_document`` the blocks that a document lies in.
 
 ``write_ids`` writes a table of documents as such files in ascending id order;
 each file is one row of a Parquet table in a folder that all executors share,
@@ -13,8 +14,11 @@ whose commit protocol keeps the files whole when tasks are lost or run twice.
 ``read_ids`` reads them back.
 
 Edge cases: null and empty texts have only the end id.  Documents with a null id
-come first; repeated ids are kept, in the order of their texts.  A document
-longer than ``FILE_IDS`` has a file of its own.  An empty table gives no file.
+come first; repeated ids are kept, in the order of a hash of their texts, so that
+rows of one id spread over tasks (equal rows too, which are told apart by their
+place in the input).  A document longer than ``FILE_IDS`` has a file of its own.
+An empty table gives no file.  Only doc_id and text are read, whatever other
+columns are called.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .naming import picked
 from .scratch import bounded_batches, new_path, partitions
 from .tokens import encoder
 
@@ -72,32 +77,63 @@ def pack_file(docs: list[tuple[int | None, np.ndarray]], bits: bool = False, lev
     return b"".join([head, names, known, sizes, index, *(p for block in planes for p in block)])
 
 
+class _File:
+    """The indexes of one file."""
+
+    def __init__(self, data: bytes):
+        magic, width, bits, blocks, n_docs, self.n_ids = _HEAD.unpack_from(data)
+        if magic != MAGIC:
+            raise ValueError("not a plane file")
+        self.data, self.kind, self.bits, at = data, np.dtype(f"<u{width}"), bool(bits), _HEAD.size
+
+        def take(dtype: str, n: int) -> np.ndarray:
+            nonlocal at
+            out = np.frombuffer(data, dtype=dtype, count=n, offset=at)
+            at += out.nbytes
+            return out
+
+        names, known, sizes = take("<i8", n_docs), take("u1", n_docs), take("<u8", n_docs)
+        self.names = [int(d) if k else None for d, k in zip(names, known)]
+        self.ends = np.cumsum(sizes.astype(np.int64))
+        self.starts = self.ends - sizes.astype(np.int64)
+        per = width * 8 if bits else width
+        self.index = take("<u4", blocks * per).reshape(blocks, per)
+        self.places = at + np.concatenate([[0], np.cumsum(self.index.ravel(), dtype=np.int64)])  # of every plane
+
+    def block(self, b: int) -> np.ndarray:
+        unsqueeze, per = zstandard.ZstdDecompressor(), self.index.shape[1]
+        places = self.places[b * per : (b + 1) * per + 1].tolist()
+        planes = [unsqueeze.decompress(self.data[x:y]) for x, y in zip(places, places[1:])]
+        return _block(planes, min(BLOCK, self.n_ids - b * BLOCK), self.kind, self.bits)
+
+    def ids(self, first: int, end: int) -> np.ndarray:
+        """The ids at places ``first`` to ``end``, from the blocks that hold them."""
+        if first >= end:
+            return np.zeros(0, self.kind)
+        least = first // BLOCK
+        parts = [self.block(b) for b in range(least, (end - 1) // BLOCK + 1)]
+        return np.concatenate(parts)[first - least * BLOCK : end - least * BLOCK]
+
+
 def unpack_file(data: bytes) -> list[tuple[int | None, np.ndarray]]:
     """The documents of one file."""
-    magic, width, bits, blocks, n_docs, n_ids = _HEAD.unpack_from(data)
-    if magic != MAGIC:
-        raise ValueError("not a plane file")
-    kind, at = np.dtype(f"<u{width}"), _HEAD.size
-
-    def take(dtype: str, n: int) -> np.ndarray:
-        nonlocal at
-        out = np.frombuffer(data, dtype=dtype, count=n, offset=at)
-        at += out.nbytes
-        return out
-
-    names, known, sizes = take("<i8", n_docs), take("u1", n_docs), take("<u8", n_docs)
-    per = width * 8 if bits else width
-    index = take("<u4", blocks * per).reshape(blocks, per)
-    unsqueeze, parts = zstandard.ZstdDecompressor(), []
-    for b in range(blocks):
-        n, planes = min(BLOCK, n_ids - b * BLOCK), []
-        for size in index[b].tolist():
-            planes.append(unsqueeze.decompress(data[at : at + size]))
-            at += size
-        parts.append(_block(planes, n, kind, bool(bits)))
-    ids = np.concatenate(parts) if parts else np.zeros(0, kind)
-    ends = np.cumsum(sizes.astype(np.int64))
-    return [(int(d) if k else None, ids[e - s : e]) for d, k, s, e in zip(names, known, sizes.astype(np.int64), ends)]
+    file = _File(data)
+    ids = file.ids(0, file.n_ids)
+    return [(d, ids[a:b]) for d, a, b in zip(file.names, file.starts, file.ends)]
+
+
+def read_block(data: bytes, block: int) -> np.ndarray:
+    """The ids of one block of a file, without decompressing any other."""
+    file = _File(data)
+    if not 0 <= block < len(file.index):
+        raise IndexError(f"block {block} of {len(file.index)}")
+    return file.block(block)
+
+
+def read_document(data: bytes, place: int) -> tuple[int | None, np.ndarray]:
+    """Id and token ids of the document at ``place`` in a file, from its own blocks alone."""
+    file = _File(data)
+    return file.names[place], file.ids(int(file.starts[place]), int(file.ends[place]))
 
 
 def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int, bits: bool = False) -> None:
@@ -126,11 +162,13 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int, bits: bo
         if held:
             yield closed()
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text"))
-    by_id = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    # The hash keeps rows that share an id from being one indivisible range.
-    dealt = rows.repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 32))
-    dealt.sortWithinPartitions(*by_id).mapInArrow(files, FILES).write.parquet(path)
+    rows = picked(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # The hash, and the place for equal rows, keep an id that many rows share from being one indivisible range.
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("_h"), F.monotonically_increasing_id().alias("_i"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_h"), F.col("_i")]
+    dealt = rows.repartitionByRange(partitions(docs.sparkSession, size), *order).sortWithinPartitions(*order)
+    dealt.select("doc_id", "text").mapInArrow(files, FILES).write.parquet(path)
 
 
 def _with_start(files: DataFrame) -> DataFrame:

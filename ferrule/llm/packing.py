@@ -10,8 +10,10 @@ one task is left or a round joins nothing any more.  A task holds at most
 The rows of each round are written to a shared folder before the next reads
 them, so a lost executor never changes an earlier decision.
 
-Edge cases: null and empty texts are one piece holding the end id only.  Null and
-repeated ids are packed like others.  An empty table gives an empty table.
+Edge cases: null and empty texts are one piece holding the end id only.  Very long
+texts are cut into as many pieces as they need.  Null and repeated ids are packed
+like others; ties in length are packed in any order.  An empty table gives an
+empty table.  Only doc_id and text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .naming import picked
 from .scratch import bounded_batches, stored
 from .tokens import encoder
 
@@ -61,7 +64,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> Data
                     rows.append((doc_id, k, at // 4, len(own) // 4, zlib.crc32(own)))
             yield _batch(rows, _PIECES)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(cut, PIECES)
+    return picked(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(cut, PIECES)
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -135,9 +138,11 @@ def _round(df: DataFrame, number: int, capacity: int, slack: float) -> DataFrame
 
 def pack_pieces(items: DataFrame, capacity: int, slack: float = SLACK, fan_in: int = 8) -> DataFrame:
     """``items`` (columns of ``PIECES``) with sequence_id and offset."""
-    source, tasks, left, number, done = items, items.rdd.getNumPartitions(), None, 0, []
+    source, tasks, left, number, done = items, None, None, 0, []
     while left != 0:
         bins = stored(_round(source, number, capacity, slack), "bins")
+        if tasks is None:  # those of the first round that made any bin
+            tasks = bins.select(F.floor(F.col("bin") / _TASK)).distinct().count()
         done.append(bins.where("final"))
         made = bins.count()
         stuck = left is not None and made >= left and -(-made // TASK_BINS) >= tasks

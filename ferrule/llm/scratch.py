@@ -70,8 +70,8 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 32 << 20)
     Plans read these settings when they run, so they stay for the session; smaller ones are left alone.
     """
     for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
-        now = int(spark.conf.get(f"spark.sql.execution.arrow.{name}", "0").rstrip("b") or 0)
-        if not 0 < now <= most:
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
             spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 

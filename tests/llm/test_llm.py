@@ -5,6 +5,7 @@ import random
 import re
 import unicodedata
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -60,11 +61,64 @@ def test_quality_finds_bad_documents(spark):
     assert all(got[r.doc_id].keep for r in labels if r.quality == 1)
 
 
-def test_site_rates_shrink(spark):
-    rows = [("big", "big/a", 3.0)] * 200 + [("big", "big/b", -3.0)] * 200 + [("tiny", "tiny/x", -3.0)]
-    sites = {r.path: r for r in quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, evidence double"), 0.5).collect()}
-    assert sites["big/a"].path_rate > 0.8 > sites["big/b"].path_rate
-    assert sites["tiny/x"].path_rate > 0.047 and sites["big/a"].n_host == 400  # a lone document moves its site little
+def test_quality_of_documents_it_was_not_fitted_on(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.train(docs, labels.where("doc_id % 2 = 0"))
+    got = {r.doc_id: r.keep for r in quality.classify(docs, model, F.col("source"), F.col("lang")).collect()}
+    held = [r for r in labels.collect() if r.doc_id % 2]
+    assert sum(got[r.doc_id] == (r.quality == 1) for r in held) / len(held) > 0.97
+
+
+def brute_sites(rows, base):
+    """Rates of host and path for every row without itself, and the posterior; rows are (host, path, evidence)."""
+    lift = np.log(base / (1 - base))
+    good = [1 / (1 + np.exp(-(e + lift))) for _, _, e in rows]
+    paths, hosts = {}, {}
+    for (h, p, _), g in zip(rows, good):
+        for table, key in ((paths, (h, p)), (hosts, h)):
+            n, s = table.get(key, (0, 0.0))
+            table[key] = (n + 1, s + g)
+    n, s = len(rows), sum(good)
+    total = (s + base) / (n + 1)
+
+    def strength(groups):  # (n, rate, centre)
+        size = sum(g[0] for g in groups)
+        m = sum(g[0] * g[1] for g in groups) / size
+        spread = sum(g[0] * (g[1] - g[2]) ** 2 for g in groups)
+        between = (spread - (len(groups) - 1) * m * (1 - m)) / max(size - sum(g[0] ** 2 for g in groups) / size, 1e-9)
+        return min(m * (1 - m) / between, quality.MAX_STRENGTH) if len(groups) > 1 and between > 1e-9 else quality.MAX_STRENGTH
+
+    a = strength([(k, t / k, total) for k, t in hosts.values()])
+    b = strength([(k, t / k, hosts[h][1] / hosts[h][0]) for (h, _), (k, t) in paths.items()])
+    out = []
+    for (h, p, e), g in zip(rows, good):
+        rate = (s - g + base) / n
+        host = (hosts[h][1] - g + a * rate) / (hosts[h][0] - 1 + a)
+        path = (paths[h, p][1] - g + b * host) / (paths[h, p][0] - 1 + b)
+        out.append((host, path, 1 / (1 + np.exp(-(e + np.log(path / (1 - path)))))))
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_site_posteriors_against_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(quality, "BROADCAST_SITES", broadcast)
+    rng = np.random.default_rng(1)
+    rows = [("big", f"big/{k}", float(e)) for k, m in (("a", 2), ("b", -2)) for e in rng.normal(m, 1, 120)]
+    rows += [(f"h{i % 9}", f"h{i % 9}/{i % 4}", float(e)) for i, e in enumerate(rng.normal(0.5, 2, 150))] + [("tiny", "tiny/x", -3.0)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, host string, path string, evidence double")
+    got = sorted(quality.posterior(df, quality.site_posteriors(df, 0.6)).collect())
+    for r, (host, path, post) in zip(got, brute_sites(rows, 0.6), strict=True):
+        assert abs(r.host_rate - host) < 1e-8 and abs(r.path_rate - path) < 1e-8 and abs(r.quality - post) < 1e-5 and r.keep == (r.quality >= 0.5)
+
+
+def test_sites_shrink_and_leave_the_document_out(spark):
+    rows = [("big", "big/a", 3.0)] * 200 + [("big", "big/b", -3.0)] * 200 + [("tiny", "tiny/x", -3.0), ("lone", "lone/x", 3.0)]
+    df = spark.createDataFrame(rows, "host string, path string, evidence double")
+    got = {r.path: r for r in quality.posterior(df, quality.site_posteriors(df, 0.5)).collect()}
+    assert got["big/a"].path_rate > 0.8 > got["big/b"].path_rate and got["big/a"].n_host == 400
+    # a lone document says nothing of its own site, whatever it holds
+    assert abs(got["tiny/x"].path_rate - got["lone/x"].path_rate) < 0.01
 
 
 def test_quality_learns_once_from_repeated_ids(spark, documents):
@@ -309,6 +363,25 @@ def test_other_vocabularies_are_encoded_whole():
     assert [np.frombuffer(b, other.type).tolist() for b in other.encode(texts)] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("bits", [False, True])
+def test_blocks_are_read_alone(bits, monkeypatch):
+    monkeypatch.setattr(bitplane, "BLOCK", 100)
+    rng = np.random.default_rng(2)
+    docs = [(i, rng.integers(0, 49408, n).astype(np.uint16)) for i, n in enumerate([30, 0, 250, 70, 1])]
+    data, every = bitplane.pack_file(docs, bits), np.concatenate([d[1] for d in docs])
+    for b in range(4):
+        assert bitplane.read_block(data, b).tolist() == every[100 * b : 100 * b + 100].tolist()
+    for i, (doc_id, ids) in enumerate(docs):
+        assert bitplane.read_document(data, i)[0] == doc_id and bitplane.read_document(data, i)[1].tolist() == ids.tolist()
+    # the other blocks are not looked at
+    head = len(data) - int(bitplane._File(data).index.sum())
+    sizes = bitplane._File(data).index.sum(axis=1)
+    broken = data[: head + sizes[0]] + bytes(int(sizes[1])) + data[head + sizes[0] + sizes[1] :]
+    assert bitplane.read_block(broken, 2).tolist() == every[200:300].tolist()
+    with pytest.raises(IndexError):
+        bitplane.read_block(data, 4)
+
+
 @pytest.mark.parametrize("bits", [False, True])
 def test_plane_files_round_trip(bits):
     rng = np.random.default_rng(1)
@@ -341,6 +414,19 @@ def test_written_ids_edges(spark):
     assert bitplane.read_digests(spark, bitplane.token_files(docs.limit(0), WORDS, 1)).count() == 0
 
 
+def test_written_ids_of_one_hot_id(spark, monkeypatch):
+    monkeypatch.setattr(bitplane, "partitions", lambda *_: 8)
+    rows = [(None, f"no id {i}") for i in range(1500)] + [(3, "same row")] * 1500
+    path = bitplane.token_files(spark.createDataFrame(rows, "doc_id long, text string"), WORDS, 1)
+    got = sorted(bitplane.read_digests(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 1500 + [3] * 1500 and len({r.ids_crc32 for r in got}) == 1501
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    assert max(r.n_docs for r in spark.read.parquet(path).collect()) < 1000
+
+
 def check_packing(rows, texts, end, capacity):
     by = {}
     for r in rows:
@@ -410,7 +496,7 @@ def test_language_scores_against_a_plain_sum(spark):
     rows = [(1, "aaa bb", "x"), (2, "ccc dd cd", "y"), (3, "aab", "x")]
     model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     texts = ["ab", "Cd!", "", None, "12 !", "a c"]
-    names, scores = model.predict(texts)
+    names, scores, _ = model.predict(texts)
     for text, name, score in zip(texts, names, scores):
         if not any(c.isalpha() for c in text or ""):
             assert (name, score) == ("und", 0.0)
@@ -424,6 +510,39 @@ def test_language_scores_against_a_plain_sum(spark):
     assert one.tolist() == two[bounds[1] : bounds[2]].tolist()
 
 
+def test_language_counts_against_brute_force(spark, documents):
+    some = documents.where("lang is not null").limit(60).select("doc_id", "text", "lang")
+    model = language_id.train(some, smoothing=0.5)
+    counts, docs = {}, Counter()
+    for r in some.collect():
+        (grams, _, _), = language_id.ngrams([r.text])
+        counts.setdefault(r.lang, Counter()).update(grams.tolist())
+        docs[r.lang] += 1
+    assert model.languages == sorted(counts) and np.allclose(np.exp(model.prior), [docs[x] / 60 for x in model.languages])
+    for k, lang in enumerate(model.languages):
+        n = np.array([counts[lang][f] for f in range(language_id.FEATURES)])
+        want = np.log((n + 0.5) / (n.sum() + 0.5 * language_id.FEATURES))
+        assert np.allclose(model.matrix[:, k], want, atol=1e-5) and abs(model.typical[k] - (n * want).sum() / n.sum()) < 1e-4
+
+
+def test_ngrams_by_hand():
+    # 1-, 2- and 3-grams of each character in turn, filled up with blanks, hashed alike wherever they stand
+    (grams, bounds, n), = language_id.ngrams(["ab1", "xab "])
+    assert bounds.tolist() == [0, 9, 21] and n.tolist() == [2, 3]
+    assert grams[:9].tolist() == grams[12:21].tolist()  # "ab " after "x"
+    assert len(set(grams[9:12].tolist()) | set(grams[:3].tolist())) == 6
+
+
+def test_strange_texts_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.train(docs)
+    random.seed(7)
+    strange = ["".join(random.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)) for n in (200, 400, 3000)] + ["これは日本語の文章です。今日は天気がいいので散歩に行きました。", "Это русский текст, который никогда не изучался моделью."]
+    df = spark.createDataFrame(list(enumerate(strange)), "doc_id long, text string")
+    assert language_id.identified(df, model).count() == 0 and min(model.predict(strange)[1]) > 0.99
+    assert language_id.identified(docs, model).count() == docs.count() - docs.where("not text rlike '[a-zA-Z]'").count()
+
+
 def test_language_edges(spark):
     docs = odd_documents(spark)
     model = language_id.train(docs)
@@ -453,6 +572,21 @@ def test_byte_bpe_equals_tiktoken(documents):
         assert not len(ids) or own.ends(ids)[-1] == len(text.encode())
 
 
+def test_long_texts_are_encoded_in_windows(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "SLICE_BYTES", 50)
+    import tiktoken
+
+    own = byte_bpe.ByteBpe(RANKS)
+    ref = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    random.seed(9)
+    alphabet = "abc S'\n\t  're1２é中́!\x85\u3000😀"
+    texts = ["".join(random.choice(alphabet) for _ in range(random.randint(0, 700))) for _ in range(300)] + ["a" * 400, " " * 400, "é \n" * 200, "x" * 120 + " \n y", None]
+    for text, (ids, joined) in zip(texts, own.encode(texts), strict=True):
+        want = ref.encode_ordinary(text or "")
+        assert ids.tolist() == want and joined == ",".join(map(str, want))
+    assert max(len(w) for w in own.windows("é ab" * 500)) < 60
+
+
 def test_byte_bpe_frames(spark):
     docs = odd_documents(spark)
     encoded = byte_bpe.encode_texts(docs, RANKS)
@@ -515,6 +649,82 @@ def test_edited_texts(spark, documents):
     assert len({r.fingerprint for r in got.values()}) == len({t for _, t in rows})
 
 
+def unit_counts(text):
+    data = np.frombuffer(text.encode(), dtype=np.uint8)
+    hashes, _ = fingerprint._units(data, np.array([0, len(data)]))
+    return Counter(hashes.tolist())
+
+
+def test_likeness_is_near_the_cosine_of_unit_counts(documents):
+    texts = [t for _, t in texts_of(documents)][:80]
+    texts += [t[: len(t) * 2 // 3] + texts[i - 1][:300] for i, t in enumerate(texts)]
+    texts += ["日本語" * 400, "日本語" * 300 + "東京" * 50, "".join(random.Random(1).choices("abcdef", k=9000)), "word " * 4000, "word " * 3000 + "other " * 500, "b" * 40_000]
+    texts.append(texts[-4][:6000])
+    prints, counts = fingerprint.fingerprints([t.encode() for t in texts]), [unit_counts(t) for t in texts]
+    off = []
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = counts[i], counts[j]
+            size = (sum(v * v for v in a.values()) * sum(v * v for v in b.values())) ** 0.5
+            true = sum(v * b[k] for k, v in a.items()) / size if size else float(texts[i] == texts[j])
+            off.append(abs(prints[i].likeness(prints[j]) - true))
+    assert np.mean(off) < 0.08 and np.quantile(off, 0.999) < 0.35
+    # text without blanks is like itself with a third cut off
+    long = texts.index("".join(random.Random(1).choices("abcdef", k=9000)))
+    assert prints[long].likeness(prints[-1]) > 0.6 and prints[-4].likeness(prints[-3]) > 0.9
+
+
+def test_units_are_short():
+    for text in (b"x" * 5000, b"the " * 5000, bytes(random.Random(2).choices(range(97, 123), k=20_000)), "é日本".encode() * 3000):
+        data = np.frombuffer(text, dtype=np.uint8)
+        starts, ends, _ = textbuf.word_ranges(data, np.array([0, len(data)]))
+        a, b = fingerprint._pieces(data, starts, ends)
+        assert (b > a).all() and (b - a).max() <= fingerprint.LONG_PIECE and int((b - a).sum()) == int((ends - starts).sum())
+        hashes, cuts = fingerprint._units(data, np.array([0, len(data)]))
+        assert len(hashes) >= len(a) / fingerprint.MOST_WORDS and cuts.tolist() == [0, len(hashes)]
+
+
+def test_units_do_not_hang_on_neighbours():
+    texts = [b"a b c\nd e", b"", b"x" * 700, b" y\n", b"the " * 100]
+    data, bounds = np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)])
+    hashes, cuts = fingerprint._units(data, bounds)
+    for i, t in enumerate(texts):
+        own = np.frombuffer(t, dtype=np.uint8)
+        assert hashes[cuts[i] : cuts[i + 1]].tolist() == fingerprint._units(own, np.array([0, len(own)]))[0].tolist()
+
+
+def brute_edits(rows):
+    """Multisets of what follows what, where rows of one id may come in any order but equal ones stay together."""
+    out = Counter()
+    for i, (d, t) in enumerate(rows):
+        after, cut = rows[(i + 1) % len(rows)][1], len(t) // 3
+        out[d, len(t), hashlib.sha256((t[: len(t) - cut] + after[:cut]).encode()).hexdigest()] += 1
+    return out
+
+
+@pytest.mark.parametrize("ids", ["null", "one", "equal", "some"])
+def test_hot_ids_and_rows_spread(spark, monkeypatch, ids):
+    monkeypatch.setattr(fingerprint, "SAMPLE", 512)
+    monkeypatch.setattr(fingerprint, "partitions", lambda *_: 8)
+    n = 4000
+    rows = {
+        "null": [(None, f"no id {i} of them") for i in range(n)], "one": [(7, f"one id {i} of them") for i in range(n)],
+        "equal": [(None, "abc def ghi")] * n + [(i, f"own {i} text") for i in range(40)],
+        "some": [(5, f"five {i % 3}") for i in range(n // 2)] + [(i, f"row {i} of these") for i in range(n // 2)],
+    }[ids]
+    seen = []
+    plain = fingerprint._with_next
+    monkeypatch.setattr(fingerprint, "_with_next", lambda d: seen.append(plain(d)) or seen[-1])
+    got = fingerprint.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    sizes = [r["count"] for r in seen[0][0].groupBy("bucket").count().collect()]
+    assert max(sizes) < n / 3
+    assert len(got) == len(rows) and Counter((r.doc_id, r.n_chars) for r in got) == Counter((d, len(t)) for d, t in rows)
+    # the order that the hash of texts gives
+    hashed = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    order = sorted(hashed, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.h))
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == brute_edits([(r.doc_id, r.text) for r in order])
+
+
 def test_fingerprints_add_up():
     a, b, ab, ba, a2 = fingerprint.fingerprints([b"first line here", b"second one", b"first line here\nsecond one", b"second one\nfirst line here", b"first line here"])
     assert ab.hex() == ba.hex() == (a + b).hex() and (ab - b).hex() == a.hex() == a2.hex() and a.hex() != b.hex()
@@ -563,6 +773,71 @@ def test_url_rules_against_brute_force(spark):
         url_filter.RuleTrie([url_filter.Rule("a", "/", "maybe")])
 
 
+def test_url_rules_in_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MAX_RULES", 2)
+    rules = [*queries.RULES, url_filter.Rule("b", "/x", "allow"), url_filter.Rule("b", "/x", "block"), url_filter.Rule("a.b", "/", "allow")]
+    urls = ["http://a.b/x", "http://b/x", "http://c.b/", "http://m.example.net/en/q", "http://x.org/fr/" + "y" * 20_000, None]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(df, rules).collect()}
+    assert got == {i: brute_verdict(u, rules) for i, u in enumerate(urls)}
+    assert {r.verdict for r in url_filter.judge_urls(df, [], default="block").collect()} == {"block"}
+
+
+# Names of columns ----------------------------------------------------------------------------------------------
+
+CLASHES = "_h _s _b _n _c0 _c1 _t _d _k _id _i _language _judged _best _text _salt _n _run Host PATH rule verdict shard SLOT quality keep evidence score lang_pred strangeness rank component kept bucket tail copies sequence_id tree rep deal".split()
+
+
+@pytest.fixture(scope="module")
+def clashing(documents):
+    docs = documents.limit(40).withColumn("url", F.lit("http://a.org/fr/x"))
+    own = {c.lower() for c in docs.columns}
+    for name in CLASHES:
+        if name.lower() not in own:
+            docs, own = docs.withColumn(name, F.concat(F.lit(f"{name}:"), F.col("doc_id").cast("string"))), own | {name.lower()}
+    return docs
+
+
+def untouched(before, after, without=()):
+    """Rows of ``after`` have the columns of ``before``, with the same values for the same ids."""
+    names = [c for c in before.columns if c.lower() not in without]
+    want = {r.doc_id: tuple(r[c] for c in names) for r in before.collect()}
+    rows = after.collect()
+    return rows and all(tuple(r[c] for c in names) == want[r.doc_id] for r in rows)
+
+
+def test_clashing_names_in_operators(spark, clashing):
+    labels = spark.read.parquet(f"{SF}/labels.parquet").withColumn("text", F.lit("x"))
+    n, model = clashing.count(), quality.train(clashing, labels)
+    rows = quality.classify(clashing, model, F.col("source"), F.col("lang")).collect()
+    assert len(rows) == n and all(r.path == f"{r.host}/{r.path.split('/')[-1]}" for r in rows)
+    placed = sharding.interleave(clashing, ["doc_id"], "source", 3)
+    assert untouched(clashing, placed, ("shard", "slot")) and {r.shard for r in placed.collect()} == {0, 1, 2}
+    assert near_dedup.near_duplicates(clashing).count() == n
+    assert bitplane.read_digests(spark, bitplane.token_files(clashing, WORDS, 1)).count() == n
+    speech = language_id.train(clashing)
+    assert untouched(clashing, language_id.identified(clashing, speech))
+    assert packing.pack_documents(clashing, WORDS, 0).select("doc_id").distinct().count() == n
+    assert byte_bpe.round_trip_digests(clashing, RANKS).count() == n and byte_bpe.encode_texts(clashing, RANKS).count() == n
+    vectors = spark.createDataFrame([(i, [1.0 * i, 2.0], "x", 7) for i in range(30)], "vec_id long, embedding array<float>, vector string, rank int")
+    assert topk.top_k(topk.integer_vectors(vectors), F.col("vec_id") % 20 == 0).count() == 40
+    assert fingerprint.edited_fingerprints(clashing).count() == n and fingerprint.fingerprint_texts(clashing).count() == n
+    judged = url_filter.judge_urls(clashing, queries.RULES)
+    assert untouched(clashing, judged, ("host", "path", "rule", "verdict")) and {(r.host, r.verdict) for r in judged.collect()} == {("a.org", "allow")}
+
+
+def test_clashing_names_in_stages(spark, clashing):
+    import corpus_pipeline
+
+    docs = clashing
+    for name, stage in corpus_pipeline.STAGES:
+        after = corpus_pipeline.stored(stage(spark, docs, SF), name)
+        if name != "packing":
+            assert after.columns == docs.columns and untouched(clashing, after)
+        docs = after
+    assert docs.count() > 0
+
+
 # Pipeline ------------------------------------------------------------------------------------------------------
 
 
