@@ -16,22 +16,30 @@ sets are one class, represented by the smallest id, before anything else.
    that fills half a task or more, and so may be cut, is dealt again along other
    paths, the more often the more tasks it fills.
 3. Confirmation.  Components of those edges are candidates.  The texts of the
-   members of one come together and all pairs are confirmed on the full
-   sets.  Candidates of more than ``BLOCK`` members are first confirmed in random
-   blocks, twice; then every pair of blocks that may hold links between parts still
-   apart is compared, so a large group of true copies costs a few times its size, and
-   none of a large candidate's pairs is left out.  No task holds more than two
-   blocks at a time, and only forest edges leave it.  Their components are the result.
+   members of one come together and pairs are confirmed on the full sets.
+   Candidates of more than ``BLOCK`` members are first confirmed in random
+   blocks, twice, which joins most of what belongs together.  Parts of a candidate
+   that are still apart are compared in full: where what lies outside its large
+   parts fills ``FEW`` blocks at most, by pairs of blocks; otherwise by prefixes.
+   Two sets at the threshold share a token among the rarest of the longer one
+   (as many as it may miss) and the rarest of the shorter one (as many as it may miss
+   of one as long), so only members that share such a token meet, and members
+   that differ by tokens of their own meet nobody.  None of a large candidate's
+   pairs that may be a link is left out.  No task holds more than two blocks at a
+   time, and only forest edges leave it.  Their components are the result.
 
 A pair at similarity s lies in one node of a tree with probability s at least
 (for small nodes); with ten trees a pair at 0.8 is missed with probability
 0.2**10.  Signatures err below the margin at 0.8 with probability 3e-5.
 
 Edge cases: null and empty texts, and texts without words, have empty sets and
-are linked with nothing.  Rows with a null id take no part in linking and are
-kept, with a null component.  Repeated rows have equal sets; if an id
-is given to different texts, each row's set belongs to its own class, and the id
-names the class of either.  An empty table gives an empty table.
+are linked with nothing.  Very long texts are shingled whole.  Rows with a null id
+take no part in linking and are kept, with a null component.  Repeated rows have
+equal sets; if an id is given to different texts, each row belongs to the class of
+its own text.  Ties: a component is named by its smallest id, and of rows of that
+id the one with the smallest hash of its text counts as kept in ``deduplicated``.  An
+empty table gives an empty table.  Only doc_id and text are read, whatever other
+columns are called.
 """
 
 from __future__ import annotations
@@ -40,10 +48,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .naming import numbered, own, picked, restored
 from .scratch import bounded_batches, partitions, stored
 from .textbuf import mix64, shingle_sets, text_slices
 
@@ -52,12 +61,20 @@ NODE, DEPTH, BRANCHES = 1024, 6, 2
 BLOCK = 512
 #: A block's texts have about so many bytes at most.
 BLOCK_BYTES = 8 << 20
+#: Blocks outside the large parts of a candidate that are all compared; beyond, prefixes decide what meets.
+FEW = 2
+#: Tokens are ordered by how many sets hold them, counted in so many buckets of their hash.
+SKETCH_BITS = 20
+#: Parts of the rows that share a token.
+SALTS = 8
+#: An id and text that so many rows repeat, or as many as a quarter of a task's, are one row before any join.
+REPEATED = 1000
 #: Equal signature bytes below the expected number at the threshold that still count as likely: four deviations.
 DEVIATIONS = 4.0
 _U = np.uint64
 _A = (mix64(np.arange(1, SIGNATURE + 1, dtype=_U)) >> _U(32)).astype(np.uint32) | np.uint32(1)
 _B = mix64(np.arange(1001, SIGNATURE + 1001, dtype=_U)).astype(np.uint32)
-SETS = "doc_id long, n_shingles long, set_a long, set_b long, roots array<int>, signature binary"
+SETS = "doc_id long, _h long, n_bytes long, n_shingles long, set_a long, set_b long, roots array<int>, signature binary"
 
 
 def _signatures(flat: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -75,12 +92,12 @@ def set_names(flat: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def shingled(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, roots, signature) of every document (doc_id, text)."""
+    """(doc_id, _h, n_bytes, n_shingles, set_a, set_b, roots, signature) of every document (doc_id, text); _h is a hash of the text."""
     bounded_batches(docs.sparkSession)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            ids, hashes, texts = batch.columns
             for lo, hi, data, bounds in text_slices(texts):
                 flat, rows = shingle_sets(data, bounds, width)
                 sizes = np.diff(rows)
@@ -93,12 +110,10 @@ def shingled(docs: DataFrame, width: int) -> DataFrame:
                     signs = _signatures(flat, own)
                     for i, root, sign in zip(some.tolist(), signs[:, :TREES].view(np.int32).tolist(), signs.astype(np.uint8)):
                         roots[i], packed[i] = root, sign.tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array(sizes), pa.array(a), pa.array(b), pa.array(roots, type=pa.list_(pa.int32())), pa.array(packed, type=pa.binary())],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "roots", "signature"],
-                )
+                arrays = [pa.array(np.diff(bounds)), pa.array(sizes), pa.array(a), pa.array(b), pa.array(roots, type=pa.list_(pa.int32())), pa.array(packed, type=pa.binary())]
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), hashes.slice(lo, hi - lo), *arrays], names=["doc_id", "_h", "n_bytes", "n_shingles", "set_a", "set_b", "roots", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(measured, SETS)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text").mapInArrow(measured, SETS)
 
 
 def _labels(linked: np.ndarray) -> np.ndarray:
@@ -176,7 +191,7 @@ def candidate_edges(classes: DataFrame, similarity: float) -> DataFrame:
     least = int(SIGNATURE * similarity - DEVIATIONS * (SIGNATURE * similarity * (1 - similarity)) ** 0.5)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: tuple | None = None
+        rest: list[tuple] = []  # batches of one node
 
         def edges(key: np.ndarray, ids: np.ndarray, signs: np.ndarray) -> Iterator[pa.RecordBatch]:
             cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
@@ -187,23 +202,28 @@ def candidate_edges(classes: DataFrame, similarity: float) -> DataFrame:
             if found:
                 yield _forest(*(np.concatenate(c) for c in zip(*found)))
 
+        def joined() -> tuple[np.ndarray, ...]:
+            return tuple(np.concatenate(p) for p in zip(*rest))
+
         for batch in batches:
             key = (batch.column("tree").to_numpy().astype(np.int64) << 32) | (batch.column("root").to_numpy().astype(np.int64) & 0xFFFFFFFF)
             signs = np.frombuffer(b"".join(batch.column("signature").to_pylist()), dtype=np.uint8).reshape(len(key), SIGNATURE)
-            own = (key, batch.column("rep").to_numpy(), signs)
-            if rest is not None:
-                own = tuple(np.concatenate(p) for p in zip(rest, own))
-            # The last node may go on in the next batch.
-            whole = int(np.flatnonzero(own[0] != own[0][-1])[-1]) + 1 if own[0][0] != own[0][-1] else 0
-            if whole:
-                yield from edges(*(p[:whole] for p in own))
-            rest = tuple(p[whole:] for p in own)
-        if rest is not None:
-            yield from edges(*rest)
+            now = (key, batch.column("rep").to_numpy(), signs)
+            # The last node may go on in the next batch; its batches are joined once it is whole.
+            other = np.flatnonzero(key != key[-1])
+            last = int(other[-1]) + 1 if len(other) else 0
+            if last or (rest and rest[0][0][0] != key[0]):
+                rest.append(tuple(p[:last] for p in now))
+                yield from edges(*joined())
+                rest = []
+            rest.append(tuple(p[last:] for p in now))
+        if rest:
+            yield from edges(*joined())
 
     dealt = classes.select("rep", F.posexplode("roots").alias("tree", "root"), "signature")
-    tasks = partitions(classes.sparkSession)
-    in_task = max(classes.count() * TREES / tasks, 1)
+    n = classes.count() * TREES
+    tasks = partitions(classes.sparkSession, n * (SIGNATURE + 48))
+    in_task = max(n / tasks, 1)
     # There are two of these nodes a task at most.
     cut = dealt.groupBy("tree", "root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(NODE, in_task / 2))
     cut = cut.select("tree", "root", (1 + F.ceil(F.log2(1 + F.col("n") / in_task))).cast("int").alias("deals"))
@@ -252,28 +272,20 @@ def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def confirmed_edges(members: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Forest edges of the true links between ``members`` (component, _tile, rep, set_a, set_b, text) of each tile.
+    """Forest edges of the true links between ``members`` (component, _tile, rep, text) of each tile.
 
     Rows must be dealt and sorted so that a tile is consecutive in one task.
     """
     percent = round(similarity * 100)
 
-    def links(texts: list[str], ids: np.ndarray, names: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        column, sets, kept, seen = pa.array(texts, type=pa.string()), [], [], set()
-        for lo, _, data, bounds in text_slices(column):
+    def links(texts: list[str], ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        first = np.unique(ids, return_index=True)[1]  # repeated rows once
+        column, sets, kept = pa.array([texts[i] for i in first], type=pa.string()), [], ids[first]
+        for _, _, data, bounds in text_slices(column):
             flat, rows = shingle_sets(data, bounds, width)
-            for i, (a, b) in enumerate(zip(rows[:-1], rows[1:])):
-                if a == b or int(ids[lo + i]) in seen:
-                    continue
-                own = np.concatenate(set_names(flat[a:b], np.array([0, b - a])))
-                if (own == names[lo + i]).all():  # else another text with the same id
-                    seen.add(int(ids[lo + i]))
-                    sets.append(flat[a:b])
-                    kept.append(int(ids[lo + i]))
+            sets += [flat[a:b] for a, b in zip(rows[:-1], rows[1:])]
         if len(kept) < 2:
             return
-        order = np.argsort(kept)
-        kept, sets = np.array(kept)[order], [sets[i] for i in order]
         if len(kept) == 2:
             both = np.array([[0, len(np.intersect1d(*sets, assume_unique=True))]] * 2, dtype=np.float64)
             both[1] = both[1][::-1]
@@ -287,120 +299,250 @@ def confirmed_edges(members: DataFrame, width: int, similarity: float) -> DataFr
             yield kept[moved], kept[label[moved]]
 
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, group = ([], [], []), None
+        held, group = ([], []), None
 
         def closed() -> Iterator[pa.RecordBatch]:
-            for a, b in links(held[0], np.array(held[1]), np.array(held[2])):
+            for a, b in links(held[0], np.array(held[1])):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("component", "_tile", "rep", "set_a", "set_b", "text")]
-            for *key, rep, a, b, text in zip(*columns):
+            columns = [batch.column(c).to_pylist() for c in ("component", "_tile", "rep", "text")]
+            for *key, rep, text in zip(*columns):
                 if key != group:
                     if len(held[1]) > 1:
                         yield from closed()
-                    held, group = ([], [], []), key
+                    held, group = ([], []), key
                 held[0].append(text)
                 held[1].append(rep)
-                held[2].append((a, b))
         if len(held[1]) > 1:
             yield from closed()
 
     return members.mapInArrow(confirmed, "a long, b long")
 
 
-def _blocks(n: Column, shingles: Column) -> Column:
-    """Blocks that hold n members; a shingle stands for about eight bytes of text."""
-    return F.greatest(F.ceil(n / BLOCK), F.ceil(shingles * 8 / BLOCK_BYTES)).cast("int")
+def _blocks(n: Column, size: Column) -> Column:
+    """Blocks that hold n members of ``size`` bytes."""
+    return F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
 
 
-def _dealt(tiled: DataFrame) -> DataFrame:
-    """Rows of one (component, tile) together in one task."""
+def _dealt(tiled: DataFrame, texts: DataFrame) -> DataFrame:
+    """``tiled`` (component, _tile, rep) with the texts of (rep, n_bytes, text), a tile together in one task."""
     key = ["component", "_tile"]
-    rows = tiled.select(*key, "rep", "set_a", "set_b", "text")
-    return rows.repartition(partitions(tiled.sparkSession), *key).sortWithinPartitions(*key, "rep")
+    rows = tiled.select(*key, "rep").join(texts.select("rep", "n_bytes", "text"), "rep")
+    size = tiled.join(texts.select("rep", "n_bytes"), "rep").agg(F.sum("n_bytes")).first()[0] or 0
+    return rows.select(*key, "rep", "text").repartition(partitions(tiled.sparkSession, size), *key).sortWithinPartitions(*key, "rep")
+
+
+def _sized(rows: DataFrame) -> DataFrame:
+    """For every (component, part) of ``rows``: owner and blocks; parts that fit a block share those of their component (_shared)."""
+    sizes = rows.groupBy("component", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("w"))
+    blocks = _blocks(F.col("n"), F.col("w"))
+    # Parts of several blocks stand alone; the number of shared blocks follows from the sum of the others.
+    sizes = sizes.withColumn("alone", blocks > 1)
+    shared = sizes.groupBy("component").agg(
+        F.coalesce(_blocks(F.sum(F.when(~F.col("alone"), F.col("n"))), F.sum(F.when(~F.col("alone"), F.col("w")))), F.lit(0)).alias("_shared"), F.count(F.lit(1)).alias("_parts"),
+    )
+    sizes = sizes.join(shared, "component").where("_parts > 1")  # where all are one part nothing is left to compare
+    return sizes.select("component", "part", "_shared", F.when(F.col("alone"), F.col("part")).alias("owner"), F.when(F.col("alone"), blocks).otherwise(F.greatest("_shared", F.lit(1))).alias("_of"))
 
 
-def _tiles(large: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs of blocks of each large candidate that may hold links between different parts.
+def _tiles(rows: DataFrame) -> DataFrame:
+    """Pairs of blocks of ``rows`` (component, part, rep, owner, _of) that may hold links between different parts: (component, _tile, rep).
 
     Parts that fill a block have blocks of their own, all others share blocks; two
-    blocks of one part need no comparison. So a candidate that is one part has no
-    tile, and a large part meets only what lies outside it.
+    blocks of one part need no comparison. So a large part meets only what lies
+    outside it.
     """
-    part = F.coalesce("part", "rep")
-    rows = large.join(parts.select(F.col("id").alias("rep"), F.col("component").alias("part")), "rep", "left").withColumn("part", part)
-    sizes = rows.groupBy("component", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
-    own = _blocks(F.col("n"), F.col("w"))
-    # Parts of several blocks stand alone; the number of shared blocks follows from the sum of the others.
-    sizes = sizes.withColumn("alone", own > 1)
-    shared = sizes.where("not alone").groupBy("component").agg(_blocks(F.sum("n"), F.sum("w")).alias("_shared"))
-    sizes = sizes.join(shared, "component", "left")
-    sizes = sizes.select("component", "part", F.when(F.col("alone"), F.col("part")).alias("owner"), F.when(F.col("alone"), own).otherwise(F.col("_shared")).alias("_of"))
-    rows = rows.join(sizes, ["component", "part"]).withColumn("_block", F.xxhash64("owner", F.pmod(F.xxhash64("rep"), F.col("_of"))))
+    rows = rows.withColumn("_block", F.xxhash64("owner", F.pmod(F.xxhash64("rep"), F.col("_of"))))
     blocks = rows.select("component", "owner", "_block").distinct()
     left = blocks.select("component", F.col("owner").alias("_o"), F.col("_block").alias("_i"))
     right = blocks.select("component", F.col("owner").alias("_p"), F.col("_block").alias("_j"))
     same = F.col("_o").isNotNull() & F.col("_o").eqNullSafe(F.col("_p"))
     pairs = left.join(right, "component").where((F.col("_i") <= F.col("_j")) & ~same)
     tiles = pairs.select("component", F.xxhash64("_i", "_j").alias("_tile"), F.explode(F.array_distinct(F.array("_i", "_j"))).alias("_block"))
-    return rows.join(tiles, ["component", "_block"])
+    return rows.select("component", "_block", "rep").join(tiles, ["component", "_block"]).select("component", "_tile", "rep")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every document (doc_id, text).
+def _token_counts(texts: DataFrame, width: int) -> np.ndarray:
+    """How many sets of ``texts`` hold the tokens of each bucket of their hash: a table of a fixed size."""
+    shift = _U(64 - SKETCH_BITS)
 
-    Two documents are linked if their sets' intersection is at least
-    ``similarity`` (whole per cent) of the union; component_id is the smallest id
-    that links lead to, and a document is kept if it is its own.
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        for batch in batches:
+            for _, _, data, bounds in text_slices(batch.column(0)):
+                total += np.bincount((shingle_sets(data, bounds, width)[0] >> shift).astype(np.int64), minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
+
+    found = texts.select("text").mapInArrow(counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+    out[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def _prefixes(rows: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(component, token, rep, n, first) for the rarest tokens of each of ``rows`` (component, rep, text).
+
+    A set of n tokens has as many as it may miss of a set at the threshold, and
+    one more; ``first`` are those that it may miss of a set no shorter than itself.
+    """
+    percent = round(similarity * 100)
+    counts = rows.sparkSession.sparkContext.broadcast(_token_counts(rows, width))
+    shift = _U(64 - SKETCH_BITS)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, _, data, bounds in text_slices(batch.column(2)):
+                flat, ends = shingle_sets(data, bounds, width)
+                often, n, places, first = counts.value[(flat >> shift).astype(np.int64)], np.diff(ends), [], []
+                for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                    size = b - a
+                    most = size + (-percent * size // 100) + 1
+                    fewest = size + (-2 * percent * size // (100 + percent)) + 1
+                    places.append(a + np.lexsort((flat[a:b], often[a:b]))[:most])
+                    first.append(np.arange(len(places[-1])) < fewest)
+                if not places:
+                    continue
+                row, at = np.repeat(np.arange(len(n)), [len(p) for p in places]), np.concatenate(places)
+                back = pa.array(row + lo)
+                arrays = [batch.column(0).take(back), pa.array(flat[at].view(np.int64)), batch.column(1).take(back), pa.array(n[row]), pa.array(np.concatenate(first))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["component", "token", "rep", "n", "first"])
+
+    return rows.select("component", "rep", "text").mapInArrow(cut, "component long, token long, rep long, n long, first boolean")
+
+
+def _sharing(rows: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(component, rep, part, n_bytes) of ``rows`` (and text) by shared prefix token, each token a component of its own.
+
+    Tokens of one part, of no set's first ones, or with the same members as another are left out.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = rows.select("rep", "part", "n_bytes")
+    prefixes = stored(_prefixes(rows, width, similarity).join(own, "rep"), "prefixes")
+    some = F.xxhash64("rep", "first")
+    groups = prefixes.groupBy("component", "token").agg(
+        F.count(F.lit(1)).alias("members"), F.count_if("first").alias("firsts"), F.min("part").alias("_a"), F.max("part").alias("_b"),
+        F.min(F.when(F.col("first"), F.col("n"))).alias("_low"), F.max(F.when(F.col("first"), F.col("n"))).alias("_high"), F.bit_xor(some).alias("_x"), F.bit_xor(F.xxhash64(some)).alias("_y"),
+    ).where("members > 1 and firsts > 0 and _a <> _b")
+    groups = groups.groupBy("component", "members", "firsts", "_x", "_y").agg(F.min(F.struct("token", "_low", "_high")).alias("_g")).select("component", "_g.*")
+    # A token may be in very many sets, so both sides are salted.
+    groups = groups.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = prefixes.withColumn("_k", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
+    longer = (F.col("n") >= F.col("_low")) & (round(similarity * 100) * F.col("n") <= 100 * F.col("_high"))
+    met = salted.join(groups, ["component", "token", "_k"]).where(F.col("first") | longer)
+    return met.select(F.xxhash64("component", "token").alias("component"), "rep", "part", "n_bytes")
+
+
+def _apart(large: DataFrame, parts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """What is still to be compared of large candidates, as tiles (component, _tile, rep)."""
+    own = parts.select(F.col("id").alias("rep"), F.col("component").alias("part"))
+    rows = large.join(own, "rep", "left").withColumn("part", F.coalesce("part", "rep")).select("component", "part", "rep", "n_bytes")
+    rows = stored(rows.join(_sized(rows), ["component", "part"]), "apart")
+    tiles = _tiles(rows.where(F.col("_shared") <= FEW))
+    many = rows.where(F.col("_shared") > FEW)
+    if many.limit(1).count():
+        texts = many.select("component", "part", "rep", "n_bytes").join(large.select("rep", "text"), "rep")
+        met = stored(_sharing(texts, width, similarity), "sharing")
+        sizes = _sized(met)
+        met = met.join(sizes, ["component", "part"])
+        whole = (F.col("_shared") <= 1) & F.col("owner").isNull()
+        # Tokens whose members all share one block are one tile.
+        alone = sizes.where("owner is not null").select("component").distinct()
+        one = met.where(whole).join(alone, "component", "left_anti").select("component", F.lit(0).cast("long").alias("_tile"), "rep")
+        others = met.join(one.select("component").distinct(), "component", "left_anti")
+        tiles = tiles.unionByName(one).unionByName(_tiles(others))
+    return tiles
+
+
+def _one_each(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """``rows`` (with _d, _h) in which an id and text that very many rows repeat are one row."""
+    spark = rows.sparkSession
+    most = max(REPEATED, sets.count() // (4 * partitions(spark)))
+    # Fewer than four a task, whatever the input.
+    often = sets.where("doc_id is not null").groupBy("doc_id", "_h").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select(F.col("doc_id").alias("_d"), "_h").collect()
+    if not often:
+        return rows
+    often = F.broadcast(spark.createDataFrame(often, "_d long, _h long"))
+    return rows.join(often, ["_d", "_h"], "left_anti").unionByName(_first(rows.join(often, ["_d", "_h"], "left_semi")))
+
+
+def _first(rows: DataFrame) -> DataFrame:
+    """One of the rows of each (_d, _h), by a hash of the others' columns."""
+    names = [c for c in rows.columns if c not in ("_d", "_h")]
+    plain = [c for c, kind in rows.dtypes if c in names and "map<" not in kind and "variant" not in kind]
+    one = rows.groupBy("_d", "_h").agg(F.min_by(F.struct(*names), F.xxhash64(*plain)).alias("_r"))
+    return one.select("_d", "_h", *(F.col(f"_r.{c}").alias(c) for c in names))
+
+
+def _labelled(docs: DataFrame, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The sets of ``docs`` (doc_id, text), and (doc_id, _h, n_shingles, component_id, kept, chosen) of every row.
+
+    chosen rows of a component share one id and one hash of the text.
+    """
+    docs = picked(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     sets = stored(shingled(docs, width), "sets")
     some = sets.where("doc_id is not null and n_shingles > 0")
-    classes = some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("roots").alias("roots"), F.first("signature").alias("signature"))
+    one = F.min(F.struct("doc_id", "_h", "n_bytes")).alias("_r")
+    classes = some.groupBy("set_a", "set_b").agg(one, F.first("n_shingles").alias("n_shingles"), F.first("roots").alias("roots"), F.first("signature").alias("signature"))
+    # A class is named by its place in the stored table; its text is that of its smallest id.
+    classes = classes.select(F.monotonically_increasing_id().alias("rep"), "_r.doc_id", "_r._h", "_r.n_bytes", "set_a", "set_b", "roots", "signature")
     classes = stored(classes, "classes")
-    names = classes.select("rep", "set_a", "set_b")
 
     candidates = stored(components(candidate_edges(classes, similarity)), "candidates")
-    members = classes.select("rep", "set_a", "set_b", "n_shingles").join(candidates.withColumnRenamed("id", "rep"), "rep")
-    groups = members.groupBy("component").agg(_blocks(F.count(F.lit(1)), F.sum("n_shingles")).alias("blocks"))
+    members = classes.select("rep", F.col("doc_id").alias("_d"), "_h", "n_bytes").join(candidates.withColumnRenamed("id", "rep"), "rep")
+    groups = members.groupBy("component").agg(_blocks(F.count(F.lit(1)), F.sum("n_bytes")).alias("blocks"))
     members = members.join(groups, "component")
-    texts = docs.join(members, docs["doc_id"] == members["rep"]).select("component", "blocks", "rep", "set_a", "set_b", "n_shingles", "text")
-    texts = stored(texts, "members")
+    rows = _one_each(docs.select(F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_h"), "text"), sets)
+    texts = stored(rows.join(members, ["_d", "_h"]).select("component", "blocks", "rep", "n_bytes", "text"), "members")
 
-    # A candidate that fits one block is confirmed whole; a larger one twice in blocks at random, which
-    # joins most of what belongs together.
+    # A candidate that fits one block is confirmed whole; a larger one twice in blocks at random.
     passes = F.when(F.col("blocks") > 1, F.lit(2)).otherwise(F.lit(1))
-    first = texts.withColumn("_pass", F.explode(F.sequence(F.lit(1), passes)))
-    block = F.pmod(F.xxhash64("rep", "_pass"), F.col("blocks"))
-    found = confirmed_edges(_dealt(first.withColumn("_tile", F.xxhash64("_pass", block))), width, similarity)
-    found = stored(found, "links")
+    first = texts.select("component", "blocks", "rep", "n_bytes", "text", F.explode(F.sequence(F.lit(1), passes)).alias("_pass"))
+    first = first.withColumn("_tile", F.xxhash64("_pass", F.pmod(F.xxhash64("rep", "_pass"), F.col("blocks"))))
+    size = first.agg(F.sum("n_bytes")).first()[0] or 0
+    key = ["component", "_tile"]
+    first = first.select(*key, "rep", "text").repartition(partitions(docs.sparkSession, size), *key).sortWithinPartitions(*key, "rep")
+    found = stored(confirmed_edges(first, width, similarity), "links")
     true = components(found)
-    large = texts.where("blocks > 1")
+    large = texts.where("blocks > 1").select("component", "rep", "n_bytes", "text")
     if large.limit(1).count():
-        # What is still apart within a large candidate is compared in full.
         true = stored(true, "parts")
-        rest = confirmed_edges(_dealt(_tiles(large, true)), width, similarity)
+        tiles = stored(_apart(large, true, width, similarity), "tiles")
+        rest = confirmed_edges(_dealt(tiles, large), width, similarity)
         true = components(found.unionByName(rest))
     true = stored(true, "components")
 
-    named = names.join(true, names["rep"] == true["id"], "left").select(F.col("set_a").alias("_a"), F.col("set_b").alias("_b"), F.coalesce("component", "rep").alias("_c"))
-    found = sets.select("doc_id", "n_shingles", "set_a", "set_b").join(named, (F.col("set_a") == F.col("_a")) & (F.col("set_b") == F.col("_b")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
+    linked = classes.select("rep", "doc_id", "_h", "set_a", "set_b").join(true, F.col("rep") == F.col("id"), "left").withColumn("_root", F.coalesce("component", "rep"))
+    least = linked.where("id is not null").groupBy("_root").agg(F.min(F.struct("doc_id", "_h")).alias("_l"))
+    named = linked.join(least, "_root", "left").select(
+        F.col("set_a").alias("_a"), F.col("set_b").alias("_b"), F.coalesce("_l.doc_id", "doc_id").alias("_c"), F.coalesce("_l._h", "_h").alias("_g"),
+    )
+    own = sets.select("doc_id", "_h", "n_shingles", "set_a", "set_b")
+    found = own.join(named, (F.col("set_a") == F.col("_a")) & (F.col("set_b") == F.col("_b")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
     component = F.coalesce("_c", "doc_id")
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
+    chosen = kept & F.coalesce(F.col("_h") == F.col("_g"), F.lit(True))
+    return sets, found.select("doc_id", "_h", "n_shingles", component.alias("component_id"), kept.alias("kept"), chosen.alias("chosen"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every document (doc_id, text).
+
+    Two documents are linked if their sets' intersection is at least
+    ``similarity`` (whole per cent) of the union; component_id is the smallest id
+    that links lead to, and a document is kept if it is its own.
+    """
+    return _labelled(docs, width, similarity)[1].select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of ``docs`` for each group of near copies: that of the smallest id; all columns.
 
-    Rows that repeat an id keep the one whose text sorts first.  Rows with a null id are kept.
+    Of rows that repeat an id and its text one is kept; rows of one id whose texts
+    are no near copies are groups of their own.  Rows with a null id are kept.
     """
-    found = near_duplicates(docs, width, similarity)
-    kept = found.where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    names = docs.columns
-    rows = docs.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)), F.col("doc_id").cast("long").alias("_d"), F.col("text").alias("_t"))
-    first = Window.partitionBy("_d").orderBy(F.col("_t").asc_nulls_last())
-    one = rows.join(kept, F.col("_d") == F.col("_id")).drop("_id").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    out = one.unionByName(rows.where("_d is null"))
-    return out.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(names)))
+    sets, found = _labelled(docs, width, similarity)
+    kept = found.where("chosen and doc_id is not null").select(F.col("doc_id").alias("_d"), "_h").distinct()
+    rows = numbered(docs).withColumns({"_d": own(docs, "doc_id").cast("long"), "_h": F.xxhash64(own(docs, "text"))})
+    one = _first(_one_each(rows.where("_d is not null"), sets).join(kept, ["_d", "_h"]))
+    return one.unionByName(rows.where("_d is null").select(*one.columns)).select(*restored(docs))
