@@ -1,9 +1,13 @@
-"""Column expressions shared by the operators. None of them leaves the JVM."""
+"""Column expressions shared by the operators. Only ``bucket_sums`` and ``canonical_hash`` leave the JVM, in Arrow batches."""
 
 from __future__ import annotations
 
+import hashlib
+import json
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,6 +68,13 @@ def stable_id(namespace: Column, text: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws(":", namespace, text), 256), 1, 24)
 
 
+def chunk_id(kind: str, path: Column, idx: Column) -> Column:
+    """The name of a chunk: by the file's name for sliding chunks, by its stem for others; bounded ones count from 1."""
+    if kind == "sliding":
+        return F.concat(F.lit("doc:"), file_name(path), F.lit(":"), idx.cast("string"))
+    return F.concat(file_stem(path), F.lit("-chunk-"), (idx + 1 if kind == "bounded" else idx).cast("string"))
+
+
 def file_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)$", 1)
 
@@ -77,7 +88,7 @@ def file_suffix(path: Column) -> Column:
 
 
 def as_list(x: Column, is_array: bool) -> Column:
-    """Null becomes an empty array, a scalar an array of one."""
+    """Null becomes an empty array, a scalar an array of one, an array stays."""
     return F.coalesce(x, F.array().cast("array<string>")) if is_array else F.when(x.isNull(), F.array().cast("array<string>")).otherwise(F.array(x))
 
 
@@ -91,12 +102,13 @@ def chunks_sliding(text: Column, size: int = 1200, overlap: int = 160) -> Column
 
 
 def chunks_bounded(text: Column, size: int = 1200, overlap: int = 120) -> Column:
-    """Chunks until one reaches the end; a blank text has none."""
+    """Chunks until one reaches the end, stripped; blank ones are left out but keep their index; (idx, start, end, chunk)."""
     step = max(size - overlap, 1)
     n = F.char_length(text)
     last = F.greatest(F.ceil((n - size) / step), F.lit(0)).cast("int")
     starts = F.when(strip_blanks(text) != "", F.transform(F.sequence(F.lit(0), last), lambda k: k * step)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s, i: F.struct(i.alias("idx"), s.alias("start"), F.substring(text, s + 1, F.lit(size)).alias("chunk")))
+    cut = F.transform(starts, lambda s, i: F.struct(i.alias("idx"), s.alias("start"), F.least(s + size, n).alias("end"), strip_blanks(F.substring(text, s + 1, F.lit(size))).alias("chunk")))
+    return F.filter(cut, lambda c: c["chunk"] != "")
 
 
 def collapse_blanks(text: Column) -> Column:
@@ -136,11 +148,18 @@ def focus(query: Column) -> Column:
     return F.element_at(F.transform(F.array(F.lower(F.coalesce(query, F.lit("")))), found), 1)
 
 
-def byte_sums(text: Column, dimensions: int = 128) -> Column:
-    """Whole-number bucket sums of the positional byte hash: byte b at place i adds b mod 31 + 1 to bucket (b + i) mod d."""
-    codes = F.transform(F.regexp_extract_all(F.hex(F.encode(F.coalesce(text, F.lit("")), "UTF-8")), F.lit("(..)"), 1), lambda h: F.conv(h, 16, 10).cast("int"))
-    spread = F.transform(codes, lambda b, i: F.struct(((b + i) % dimensions).alias("bucket"), (b % 31 + 1).alias("add")))
-    return spread
+def bucket_sums(text: Column, dimensions: int = 128) -> Column:
+    """Whole-number bucket sums of the positional byte hash, an array by bucket: byte b at place i adds b mod 31 + 1 to bucket (b + i) mod d."""
+
+    @F.arrow_udf("array<bigint>")
+    def summed(texts: pa.Array) -> pa.Array:
+        rows = []
+        for value in texts:
+            data = np.frombuffer((value.as_py() or "").encode(), dtype=np.uint8).astype(np.int64)
+            rows.append(np.bincount((data + np.arange(len(data))) % dimensions, weights=data % 31 + 1, minlength=dimensions).astype(np.int64))
+        return pa.array(rows, pa.list_(pa.int64()))
+
+    return summed(text)
 
 
 def token_index(token: Column, buckets: int = 100_000) -> Column:
@@ -148,6 +167,27 @@ def token_index(token: Column, buckets: int = 100_000) -> Column:
     return F.aggregate(F.transform(F.split(token, ""), lambda c: F.ascii(c)), F.lit(0), lambda a, c: a + c) % buckets
 
 
+def canonical_hash(payload: Column) -> Column:
+    """sha256 of a JSON text in its canonical form: sorted keys at every level, ", " and ": " between, all beyond ASCII escaped.
+
+    A null, or what is no JSON, has no hash.
+    """
+
+    @F.arrow_udf("string")
+    def hashed(texts: pa.Array) -> pa.Array:
+        out: list[str | None] = []
+        for value in texts:
+            try:
+                whole = json.dumps(json.loads(value.as_py() or ""), sort_keys=True, default=str)
+            except ValueError:
+                out.append(None)
+            else:
+                out.append(hashlib.sha256(whole.encode()).hexdigest())
+        return pa.array(out, pa.string())
+
+    return hashed(payload)
+
+
 def dot(a: Column, b: Column) -> Column:
     """Inner product over the shorter length."""
     n = F.least(F.size(a), F.size(b))

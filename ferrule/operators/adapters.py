@@ -51,5 +51,5 @@ def parsed_document(text: Column, converted: Column, converted_text: Column, con
     taken = F.when(rich, F.coalesce(converted_text, F.lit(""))).otherwise(text)
     return F.struct(
         F.when(taken.isNotNull(), "completed").otherwise("failed").alias("status"), F.when(rich, converter).otherwise("plain_text_fallback").alias("parser"),
-        F.when(taken.isNotNull(), F.size(chunks_sliding(taken))).alias("chunk_count"),
+        F.when(taken.isNotNull(), F.size(chunks_sliding(taken))).alias("chunk_count"), F.coalesce(converted, F.lit("not_requested")).alias("converter_status"),
     )

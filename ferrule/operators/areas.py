@@ -27,7 +27,7 @@ REPAIRED = {("epidemiology", "language_listening"): (0.1, 0.04, 0.64, 0.48)}
 AREAS = {
     "visual_diagnostic": ("imaging_led", 0.2, 9),
     "language_listening": ("language_led", 0.15, 8),
-    "case_context": ("context_led", 0.1, 6),
+    "case_context": ("multimodal_context", 0.1, 6),
     "epidemiology": ("epidemiology_led", 0.18, 8),
 }
 _WEIGHTS = ("exc", "inh", "prec", "sens")
@@ -85,6 +85,16 @@ def with_pairs(df: DataFrame, strict: bool = True) -> DataFrame:
     }).drop("_areas")
 
 
+def couplings(pairs: Column, total_salience: Column) -> Column:
+    """For every pair its coupling score: how strongly two areas that cohere drive each other, or how weakly others do."""
+
+    def score(p: Column) -> Column:
+        share = clamp(p["salience"] / F.greatest(total_salience + 1.0, F.lit(1.0)))
+        return clamp(F.when(p["coherent"], share + p["w"]["exc"] + p["w"]["prec"] * 0.1).otherwise(share - p["w"]["sens"] * 0.2))
+
+    return F.transform(pairs, lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), F.when(p["coherent"], "coherent").otherwise("mismatch").alias("status"), r3(score(p)).alias("coupling_score")))
+
+
 def with_metrics(df: DataFrame, dream_pressure: float = 0.0) -> DataFrame:
     """Add the struct ``metrics`` to rows of ``with_pairs``."""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,23 @@ def calibration_bins(records: DataFrame, bins: int = 10) -> DataFrame:
     )
 
 
+def scored_records(rows: DataFrame, confidence: str = "confidence", score: str = "score") -> DataFrame:
+    """Records of confidence (else score; what is no number counts as 0) and correct."""
+    value = lambda c: F.expr(f"try_cast(`{c}` as double)")
+    given = F.when(F.col(confidence).isNotNull(), value(confidence)).otherwise(value(score))
+    return rows.select(F.coalesce(given, F.lit(0.0)).alias("confidence"), F.coalesce("correct", F.lit(False)).cast("int").alias("correct"))
+
+
+def rounded_bins(bins: DataFrame) -> DataFrame:
+    """Bins as they are reported: every measure to four digits."""
+    return bins.select("bin", "n", *(F.round(c, 4).alias(c) for c in ("lower", "upper", "confidence", "accuracy", "gap")))
+
+
+def benchmark_run(records: DataFrame, predict: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of a benchmark whose results come from ``predict``, which adds result_label, top_label, top_score and pi_score."""
+    return benchmark_rows(predict(records))
+
+
 def calibration_summary(bins: DataFrame) -> DataFrame:
     n = F.sum("n")
     safe = F.greatest(n, F.lit(1))
@@ -48,7 +67,7 @@ def benchmark_rows(results: DataFrame) -> DataFrame:
     gold = F.transform("gold_labels", normal_label)
     return results.withColumns({
         "abstained": F.coalesce(abstained, F.lit(False)), "predicted": predicted, "correct": F.array_contains(gold, predicted) & ~F.coalesce(abstained, F.lit(False)),
-        "confidence": F.coalesce(clamp(F.expr("try_cast(top_score as double)")), clamp(F.expr("try_cast(pi_score as double)"))),
+        "confidence": clamp(F.coalesce(F.expr("try_cast(top_score as double)"), F.expr("try_cast(pi_score as double)"))),
     })
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import file_suffix
+from .adapters import imaging_response
 
 #: Provider (kind, name, needs pixels, remote, requirement) by strategy.
 PROVIDERS = {
@@ -15,6 +16,7 @@ PROVIDERS = {
     "local_metadata": ("local_metadata_adapter", "local_imaging_feature_provider", False, False, "metadata_or_paths_optional"),
 }
 _HYBRID = "image_or_dicom_series_required"
+#: Suffixes of projection images, and modalities of volumes.
 IMAGES = [".png", ".jpg", ".jpeg", ".webp", ".tif", ".tiff"]
 VOLUMES = ["CT", "MR", "PT"]
 
@@ -72,7 +74,25 @@ def encode_studies(studies: DataFrame, existing: DataFrame | None = None) -> Dat
     counts = rows.groupBy("study_id").agg(F.count("there").alias("existing_count"))
     there = F.coalesce("existing_count", F.lit(0))
     ready = F.when((F.col("image_count") > 0) & (there == F.col("image_count")), "ready").when(there > 0, "partial").otherwise("metadata_only")
-    return out.join(counts, "study_id", "left").withColumns({"existing_count": there, "local_readiness": ready})
+    return out.join(counts, "study_id", "left").withColumns({"existing_count": there, "missing_count": F.col("image_count") - there, "local_readiness": ready})
+
+
+def remote_request(provider_name: Column, endpoint: Column, enabled: Column, timeout_seconds: int = 30) -> Column:
+    """The request to a remote provider over rows of ``encode_studies``: what it would be sent, and why it is not."""
+    request = F.struct(
+        provider_name.alias("provider_name"), endpoint.alias("endpoint"), F.col("study_id").cast("string").alias("study_id"), F.col("paths").alias("series_paths"), F.col("provider.name").alias("selected"), F.lit(timeout_seconds).alias("timeout_seconds"),
+    )
+    answer = imaging_response(enabled, endpoint)
+    return F.when(F.col("provider.remote"), F.struct(provider_name.alias("provider"), answer["status"].alias("status"), answer["reason"].alias("reason"), request.alias("request"), answer["fallback_required"].alias("fallback_required")))
+
+
+def with_remote(studies: DataFrame, provider_name: Column, endpoint: Column, enabled: Column) -> DataFrame:
+    """Add remote_result (null where the strategy needs no remote provider), encoder_ready and fallback_mode to ``encode_studies``."""
+    out = studies.withColumn("remote_result", remote_request(provider_name, endpoint, enabled))
+    fallback = F.coalesce(F.col("remote_result.fallback_required"), F.lit(False))
+    return out.withColumns({
+        "encoder_ready": (F.col("image_count") > 0) & (F.col("strategy") != "metadata_only"), "fallback_mode": F.when(fallback, "remote_stub_to_local_features").otherwise("local_features_only"),
+    })
 
 
 def attach_paths(imaging: Column, paths: Column, case_id: Column) -> Column:

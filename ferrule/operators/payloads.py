@@ -7,10 +7,10 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import first_present, present, token_index
+from ..functions.scalars import canonical_hash, chunk_id, chunks_collapsed, first_present, present
 
 
 def resources(cases: DataFrame) -> DataFrame:
@@ -18,12 +18,12 @@ def resources(cases: DataFrame) -> DataFrame:
     rid = first_present(F.col("patient_id"), F.col("case_id"))
     none = F.lit(None).cast("string")
 
-    def row(kind: str, own: Column, value: Column) -> Column:
-        return F.struct(F.lit(kind).alias("resource_type"), own.alias("id"), value.alias("value"))
+    def row(kind: str, own: Column, value: Column, unit: Column = none, code: Column = none) -> Column:
+        return F.struct(F.lit(kind).alias("resource_type"), own.alias("id"), code.alias("code"), value.alias("value"), unit.alias("unit"))
 
     report = F.when(present(F.col("report_text")), row("DiagnosticReport", F.concat(F.lit("dr-"), F.col("case_id")), F.col("report_text")))
-    seen = F.transform("observations", lambda o, i: row("Observation", F.concat(F.lit("obs-"), F.col("case_id"), F.lit("-"), i.cast("string")), F.concat_ws("|", o["code"], o["value"], o["unit"])))
-    every = F.concat(F.array_compact(F.array(row("Patient", rid, none), report)), F.coalesce(seen, F.array().cast("array<struct<resource_type:string,id:string,value:string>>")))
+    seen = F.transform("observations", lambda o, i: row("Observation", F.concat(F.lit("obs-"), F.col("case_id"), F.lit("-"), i.cast("string")), o["value"], o["unit"], o["code"]))
+    every = F.concat(F.array_compact(F.array(row("Patient", rid, none), report)), F.coalesce(seen, F.array().cast("array<struct<resource_type:string,id:string,code:string,value:string,unit:string>>")))
     return cases.select("case_id", F.explode(every).alias("r")).select("case_id", "r.*")
 
 
@@ -41,10 +41,10 @@ def memory_document(chunk: Column, base: dict[str, Column], more: Column) -> Col
 
 
 def sparse(docs: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
-    """(ids, idx, n): tokens of the lower-cased text by the sum of their code points."""
-    tokens = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"(?U)\s+"), lambda t: t != "")
-    rows = docs.select(*ids, F.explode(tokens).alias("t"))
-    return rows.groupBy(*ids, token_index(F.col("t")).alias("idx")).agg(F.count(F.lit(1)).alias("n"))
+    """(ids, idx, n): tokens of the lower-cased text by the sum of their code points, counted within the row."""
+    own = point_vectors(F.col(text))
+    rows = docs.select(*ids, own.alias("_v")).select(*ids, F.explode(F.arrays_zip("_v.indexes", "_v.counts")).alias("_x"))
+    return rows.select(*ids, F.col("_x.indexes").alias("idx"), F.col("_x.counts").cast("long").alias("n"))
 
 
 def _dense(text: str, dimensions: int) -> list[float]:
@@ -91,6 +91,82 @@ def point(own_id: Column, text: Column, metadata: Column, source: Column) -> Col
     return F.struct(own_id.alias("id"), vector.alias("vector"), payload.alias("payload"))
 
 
+#: The vectors of a point with their sizes, the distance, and what stands for a call that is not made.
+VECTORS = {"text_dense": 128, "image_dense": 128}
+SPARSE, DISTANCE, FUSION, NOT_SENT = "text_sparse", "Cosine", "reciprocal_rank_fusion_candidate", "not_sent_offline_contract"
+
+
+def collection_schema(spark: SparkSession, collection: str) -> DataFrame:
+    """A row for every vector of the collection: name, kind, size and distance."""
+    rows = [(collection, name, "dense", size, DISTANCE) for name, size in VECTORS.items()] + [(collection, SPARSE, "sparse", None, None)]
+    return spark.createDataFrame(rows, "collection string, vector string, kind string, size int, distance string")
+
+
+def hybrid_query(text: Column, limit: int = 5, filters: Column | None = None) -> Column:
+    """The prepared query of a text: its dense and its sparse vector, how both are fused, limit and filters."""
+    found = point_vectors(F.coalesce(text, F.lit("")))
+    dense = F.struct(F.lit("text_dense").alias("name"), found["dense"].alias("vector"))
+    own = F.struct(F.lit(SPARSE).alias("name"), found["indexes"].alias("indexes"), found["counts"].alias("values"))
+    none = F.create_map().cast("map<string,string>")
+    return F.struct(
+        F.struct(dense.alias("dense"), own.alias("sparse"), F.lit(FUSION).alias("fusion")).alias("query"), F.lit(limit).alias("limit"), (none if filters is None else filters).alias("filters"), F.lit(NOT_SENT).alias("execution"),
+    )
+
+
+def prepared_upsert(known: Column, kind: Column, own_id: Column, properties: Column, references: Column, ready: Column | None = None) -> Column:
+    """The request that would store an object: rejected for an unknown class, otherwise prepared, or not executed where the store is not ready.
+
+    ``ready`` is a struct of ``adapters.live_readiness``; without it the request is only prepared.
+    """
+    status = F.when(~known, "rejected")
+    reason = F.when(~known, F.array(F.lit("unknown_schema_class")))
+    if ready is not None:
+        status = status.when(~ready["ready"], "not_executed").otherwise("requires_infrastructure_subclass")
+        reason = reason.when(~ready["ready"], ready["reasons"]).otherwise(F.array(F.lit("live_upsert_deliberately_not_hardcoded_in_core")))
+    else:
+        status, reason = status.otherwise("prepared"), reason.otherwise(F.array().cast("array<string>"))
+    return F.struct(
+        status.alias("status"), reason.alias("reason"), F.when(known, "upsert_object").alias("operation"), kind.alias("class_name"), F.when(known, own_id).alias("object_id"), F.when(known, properties).alias("properties"),
+        F.when(known, references).alias("references"), F.when(known, F.coalesce(properties["learning_status"], F.lit("candidate"))).alias("learning_status"), F.when(known, F.lit(True)).alias("requires_provenance"),
+    )
+
+
+def prepared_search(known: Column, kind: Column, query: Column, target: Column, limit: int = 5) -> Column:
+    """The request that would search a class, rejected for an unknown one."""
+    return F.struct(
+        F.when(known, "prepared").otherwise("rejected").alias("status"), F.when(~known, "unknown_schema_class").alias("reason"), F.when(known, "semantic_search").alias("operation"), kind.alias("class_name"),
+        F.when(known, query).alias("query"), F.when(known, target).alias("target_vector"), F.when(known, F.lit(limit)).alias("limit"),
+    )
+
+
+def chunk_record(own_id: Column, chunk: Column, path: Column, more: Column, source: str) -> Column:
+    """A chunk as a record: text, metadata (of the path, overridden by ``more``) and where it comes from."""
+    base = memory_document(chunk, {"source_path": path}, more)
+    return F.struct(own_id.alias("record_id"), base["text"].alias("text"), base["metadata"].alias("metadata"), F.lit(source).alias("source"))
+
+
+def ingested(files: DataFrame, source: str, document_type: str) -> DataFrame:
+    """The log of upserts that texts (path, text) make: a record for every collapsed chunk, named by the file's stem."""
+    rows = files.select("path", F.explode(chunks_collapsed(F.col("text"))).alias("c"))
+    fixed = {"source": F.lit(source), "path": F.col("path"), "document_type": F.lit(document_type), "parser_mode": F.lit("local_text_ingestion_contract"), "chunk_index": F.col("c.idx").cast("string")}
+    own = chunk_id("collapsed", F.col("path"), F.col("c.idx"))
+    return rows.select(
+        F.lit("upsert").alias("event"), own.alias("record_id"), F.col("c.chunk").alias("text"), F.create_map(*(x for k, v in fixed.items() for x in (F.lit(k), v))).alias("metadata"), F.lit("text").alias("modality"),
+        F.lit(source).alias("source"), F.lit("candidate").alias("status"), F.lit(None).cast("string").alias("reason"), F.lit(0).alias("ts"), F.col("c.idx").alias("event_id"),
+    )
+
+
+def prediction_lock(protocol: str, case_id: Column, payload: Column, created_at: Column) -> Column:
+    """A locked prediction: its id from protocol, case, payload hash and time of creation (whole epoch seconds)."""
+    own = canonical_hash(payload)
+    stamp = F.concat(created_at.cast("long").cast("string"), F.lit(".0"))
+    audit = F.create_map(F.lit("protocol_id"), F.lit(protocol), F.lit("created_before_outcome"), F.lit("true"))
+    return F.struct(
+        case_id.alias("case_id"), F.substring(F.sha2(F.concat_ws(":", F.lit(protocol), case_id, own, stamp), 256), 1, 24).alias("prediction_id"), created_at.alias("created_at"), own.alias("payload_hash"),
+        F.lit(True).alias("locked"), audit.alias("audit"),
+    )
+
+
 def semantic_document(columns: list[str], text: list[str], ids: list[str], fallback: Column) -> tuple[Column, Column]:
     """The first text and the first id that are not empty, among the columns at hand."""
     texts = [F.col(c).cast("string") for c in text if c in columns]

@@ -17,6 +17,11 @@ def abstention(uncertainty: Column, threshold: float = 0.65) -> Column:
     )
 
 
+def should_abstain(uncertainty: Column, threshold: Column | None = None) -> Column:
+    """Abstention by a configured threshold (a column; where it is null, the default)."""
+    return uncertainty >= F.coalesce(F.lit(None).cast("double") if threshold is None else threshold, F.lit(0.65))
+
+
 def risk_gate(risk: Column, threshold: float = 0.35) -> Column:
     allow = risk <= threshold
     return F.struct(

@@ -167,7 +167,12 @@ def with_support(df: DataFrame) -> DataFrame:
     return df.withColumns({"support_strength": total("support"), "contradiction_strength": total("contradiction")})
 
 
-def _domain(signals: Column, source: Column, kind: Column) -> Column:
+def distinct_classes(profiles: str) -> Column:
+    """The classes that occur among profiles, sorted."""
+    return F.array_sort(F.array_distinct(F.transform(profiles, lambda p: p["class"])))
+
+
+def domain(signals: Column, source: Column, kind: Column) -> Column:
     joined = F.array_join(signals, " ")
     led = joined.contains("fusion:") | joined.contains("visual_diagnostic") | source.isin("mismatch_resolution", "contradiction_revision")
     return (
@@ -176,13 +181,25 @@ def _domain(signals: Column, source: Column, kind: Column) -> Column:
     )
 
 
+def _action(pair: tuple[str, str]) -> Column:
+    return F.struct(F.lit(pair[0]).alias("category"), F.lit(pair[1]).alias("label"))
+
+
+def domain_actions(of: Column) -> Column:
+    """The actions (category, label) that a domain calls for."""
+    found = F
+    for name, actions in ACTIONS.items():
+        found = found.when(of == name, F.array(*map(_action, actions)))
+    return found.otherwise(F.array(_action(MORE_EVIDENCE)))
+
+
 def with_differential(df: DataFrame) -> DataFrame:
     """Add ``hypotheses`` (first the primary one) and ``actions`` to rows of ``with_support``."""
     c = F.col
     labels = F.transform("support", lambda p: p["label"])
     mode = c("intuition.mode")
     kind = F.when(mode == "rational_revision", "revision_hypothesis").when(mode == "contradiction_revision", "contradiction_revision_hypothesis").otherwise("primary_hypothesis")
-    df = df.withColumn("_domain", _domain(F.slice(labels, 1, 4), F.lit("intuition_engine"), kind))
+    df = df.withColumn("_domain", domain(F.slice(labels, 1, 4), F.lit("intuition_engine"), kind))
     n = F.size("signals")
     primary = F.struct(
         c("intuition.label").alias("label"), kind.alias("kind"), c("_domain").alias("domain"),
@@ -193,7 +210,7 @@ def with_differential(df: DataFrame) -> DataFrame:
         own = F.when(x["kind"] == "mismatch_resolution", "mismatch_resolution").when(x["kind"] == "contradiction_revision", "contradiction_revision_alternative").otherwise("revision_alternative")
         spoken = F.concat(F.array(F.concat(F.lit("dream:"), x["focus"])), F.slice(labels, 1, 1))
         return F.struct(
-            x["label"].alias("label"), own.alias("kind"), _domain(spoken, x["kind"], own).alias("domain"),
+            x["label"].alias("label"), own.alias("kind"), domain(spoken, x["kind"], own).alias("domain"),
             r3(0.4 + c("mismatch_score") * 0.1 - i * 0.05 + c("contradiction_strength") * 0.01).alias("score"), F.greatest(n - i - 1, F.lit(0)).alias("support"),
         )
 
@@ -202,17 +219,13 @@ def with_differential(df: DataFrame) -> DataFrame:
         r3(0.3 + c("mismatch_score") * 0.05).alias("score"), F.greatest(n - 1, F.lit(0)).alias("support"),
     ))
     others = F.when(F.size("dream.alternatives") > 0, F.transform(F.slice("dream.alternatives", 1, 3), alternative)).otherwise(fallback)
-    action = lambda pair: F.struct(F.lit(pair[0]).alias("category"), F.lit(pair[1]).alias("label"))
     none = F.array().cast("array<struct<category:string,label:string>>")
-    by_domain = F
-    for domain, actions in ACTIONS.items():
-        by_domain = by_domain.when(c("_domain") == domain, F.array(*map(action, actions)))
     has = lambda k: F.exists("contradiction", lambda p: p["class"] == k)
     more = [
         (has("useful_contradiction"), ("multimodal_reconciliation", "recheck multimodal alignment")), (c("coherence_score") < 0.5, MORE_EVIDENCE),
         (mode == "contradiction_revision", ("disambiguation_test", "review alternative hypotheses")), (has("weak_contradiction"), ("disambiguation_test", "monitor boundary conditions")),
     ]
-    actions = F.array_distinct(F.concat(by_domain.otherwise(F.array(action(MORE_EVIDENCE))), *(F.when(w, F.array(action(a))).otherwise(none) for w, a in more)))
+    actions = F.array_distinct(F.concat(domain_actions(c("_domain")), *(F.when(w, F.array(_action(a))).otherwise(none) for w, a in more)))
     return df.withColumns({"hypotheses": F.concat(F.array(primary), others), "actions": actions}).drop("_domain")
 
 

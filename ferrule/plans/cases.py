@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import first_present, focus, present
 from ..operators import areas as A
+from ..operators import memory as M
 from ..operators import policy as P
 from ..operators import reasoning as R
+from ..operators.intake import settled
 from ..sources import table
 from . import query
 from . import r3 as rs
@@ -31,26 +33,31 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     heard = A.streams(patient_complaints=present(F.col("patient_complaints")), report_text=present(F.col("report_text")), ehr_text=present(F.col("ehr_text")), voice_features=F.col("voice"))
     d = d.withColumn("heard", heard)
     four = F.array(A.area("visual_diagnostic", F.size("visual")), A.area("language_listening", F.size("heard")), A.area("case_context", F.lit(3)), A.area("epidemiology", F.size("epi")))
-    return d.withColumn("areas", F.when(F.col("extra"), F.concat(four, F.array(A.area("genomics", F.lit(2))))).otherwise(four))
+    return settled(d.withColumn("areas", F.when(F.col("extra"), F.concat(four, F.array(A.area("genomics", F.lit(2))))).otherwise(four)))
 
 
 _PRIORS = ", ".join(f"('{a}', '{b}', {w[0]}, {w[1]}, {w[2]}, {w[3]})" for (a, b), w in A.PAIRS.items())
-BASE = f"""
+_MEASURES = "0.5 + (d.doc_id % 11) * 0.05 AS replay_coherence, (d.doc_id % 9) * 0.05 AS replay_risk, (d.doc_id % 13) * 0.05 AS risk, (d.doc_id % 17) * 0.06 AS uncertainty"
+
+
+def base_sql(measures: str = _MEASURES, wanted: str = "true", fifth: str = "doc_id % 10 = 3") -> str:
+    """The stages up to the metrics over the documents that are ``wanted``; a ``fifth`` area where that holds."""
+    return f"""
 WITH base AS (
     SELECT d.doc_id, 'case-' || d.doc_id AS case_id, coalesce(d.text, '') AS report_text,
         CASE WHEN d.doc_id % 6 = 0 THEN 'ehr note ' || d.source ELSE '' END AS ehr_text, CASE WHEN d.doc_id % 3 = 0 THEN 'complaint of cough' ELSE '' END AS complaints,
-        d.doc_id % 4 = 1 AS exposures, 0.5 + (d.doc_id % 11) * 0.05 AS replay_coherence, (d.doc_id % 9) * 0.05 AS replay_risk, (d.doc_id % 13) * 0.05 AS risk, (d.doc_id % 17) * 0.06 AS uncertainty,
+        d.doc_id % 4 = 1 AS exposures, {measures},
         2 + (d.doc_id % 7 = 0)::INT + (l.doc_id IS NOT NULL)::INT AS nv,
         (coalesce(d.text, '') <> '')::INT + (d.doc_id % 6 = 0)::INT + (d.doc_id % 3 = 0)::INT + (d.doc_id % 5 = 0)::INT AS nl,
         (d.doc_id % 2 = 0)::INT + (d.source IS NOT NULL)::INT + (d.doc_id % 4 = 1)::INT AS ne
-    FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id
+    FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id WHERE {wanted}
 ), areas AS (
     SELECT doc_id, area, ord, fields, n, sal, 1 - least(sal, 1.0) AS unc FROM (
         SELECT doc_id, 'visual_diagnostic' AS area, 0 AS ord, 9 AS fields, nv AS n, {rs("0.2 * nv")} AS sal FROM base
         UNION ALL SELECT doc_id, 'language_listening', 1, 8, nl, {rs("0.15 * nl")} FROM base
         UNION ALL SELECT doc_id, 'case_context', 2, 6, 3, {rs("0.1 * 3")} FROM base
         UNION ALL SELECT doc_id, 'epidemiology', 3, 8, ne, {rs("0.18 * ne")} FROM base
-        UNION ALL SELECT doc_id, 'genomics', 4, 4, 2, {rs("0.25 * 2")} FROM base WHERE doc_id % 10 = 3)
+        UNION ALL SELECT doc_id, 'genomics', 4, 4, 2, {rs("0.25 * 2")} FROM base WHERE {fifth})
 ), priors(a, b, exc, inh, prec, sens) AS (VALUES {_PRIORS}),
 pairs AS (
     SELECT x.doc_id, x.area AS a, y.area AS b, {rs("x.sal + y.sal")} AS psal, x.n + y.n AS pn, p.exc IS NOT NULL AS coh,
@@ -94,6 +101,9 @@ metrics AS (
     FROM m7
 )"""
 
+
+BASE = base_sql()
+
 REPLAY = f""", dream AS (
     SELECT b.*, m.* EXCLUDE (doc_id), replay_coherence >= 0.7 AND replay_risk <= 0.3 AS accepted, report_text <> '' OR complaints <> '' AS txt,
         CASE WHEN mismatch_score > 0.6 THEN 'cross_area_alignment' WHEN exposures THEN 'epidemiology' WHEN report_text <> '' OR complaints <> '' THEN 'language_listening' ELSE 'context' END AS variant_focus,
@@ -313,15 +323,14 @@ def case_summary(spark, sf_dir):
 
 
 @query(BASE + REPLAY + """ SELECT case_id, pi_score >= 0.55 AND err <= 0.45 AND bias >= 0.45 AS accepted, CASE WHEN pi_score >= 0.55 AND err <= 0.45 AND bias >= 0.45 THEN 'promoted' ELSE 'candidate' END AS learning_status,
-    'dream-' || case_id || '-' || row_number() OVER (PARTITION BY case_id ORDER BY doc_id) AS record_id FROM dream2""")
+    'dream-' || case_id || '-' || row_number() OVER (ORDER BY doc_id) AS record_id FROM dream2""")
 def rehearsal(spark, sf_dir):
-    from pyspark.sql import Window
-
+    """Cases are rehearsed in the order of their ids; each adds a record, so its own carries the size of the store after it."""
     d = A.with_metrics(A.with_pairs(cases(spark, sf_dir)))
     ok = P.promotion(F.col("metrics.pi_score"), F.col("metrics.prediction_error"), F.col("metrics.bias_suppression_score"))
-    # Rehearsals are numbered within their case.
-    n = F.row_number().over(Window.partitionBy("case_id").orderBy("doc_id"))
-    return d.select("case_id", ok.alias("accepted"), F.when(ok, "promoted").otherwise("candidate").alias("learning_status"), F.concat(F.lit("dream-"), "case_id", F.lit("-"), n.cast("string")).alias("record_id"))
+    n = M.numbered(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+    d = d.join(n, "doc_id")
+    return d.select("case_id", ok.alias("accepted"), F.when(ok, "promoted").otherwise("candidate").alias("learning_status"), F.concat(F.lit("dream-"), "case_id", F.lit("-"), F.col("place").cast("string")).alias("record_id"))
 
 
 _FOCUS_TEXT = "coalesce(text, '') || ' ' || CASE doc_id % 4 WHEN 0 THEN 'ct scan' WHEN 1 THEN 'dry cough' WHEN 2 THEN 'travel abroad' ELSE 'zz' END"

@@ -8,10 +8,11 @@ from ..functions import scalars as S
 from ..operators import adapters as D
 from ..operators import evaluation as E
 from ..operators import imaging as I
+from ..operators import intake as N
 from ..operators import memory as M
 from ..operators import payloads as Y
 from ..sources import batch_summary as summed
-from ..sources import cxr_cases, known_modalities, openi_cases, parse_benchmark, table, validated
+from ..sources import cxr_cases, known_modalities, nested_payloads, openi_cases, parse_benchmark, table, validated
 from . import dims, query
 
 # Evaluation ----------------------------------------------------------------------------------------------------
@@ -140,9 +141,9 @@ def _chunks(spark, sf_dir, cut):
     return rows.select("doc_id", F.col("c.idx").cast("int").alias("idx"), F.col("c.start").cast("int").alias("start"), F.char_length("c.chunk").alias("n"), F.sha2(F.col("c.chunk"), 256).alias("sha"))
 
 
-def _bounded_sql(text: str, size: int, step: int, blank: str) -> str:
+def _bounded_sql(text: str, size: int, step: int, blank: str, strip: bool = False) -> str:
     return f"""SELECT doc_id, k::INT AS idx, (k * {step})::INT AS start, length(chunk)::INT AS n, sha256(chunk) AS sha FROM (
-        SELECT doc_id, k, substr(t, k * {step} + 1, {size}) AS chunk FROM (SELECT doc_id, t, unnest(range(0, greatest(ceil((length(t) - {size}) / {step}), 0)::INT + 1)) AS k FROM (SELECT doc_id, {text} AS t FROM documents) {blank}))"""
+        SELECT doc_id, k, {_STRIP.format(f"substr(t, k * {step} + 1, {size})") if strip else f"substr(t, k * {step} + 1, {size})"} AS chunk FROM (SELECT doc_id, t, unnest(range(0, greatest(ceil((length(t) - {size}) / {step}), 0)::INT + 1)) AS k FROM (SELECT doc_id, {text} AS t FROM documents) {blank})){" WHERE chunk <> ''" if strip else ""}"""
 
 
 @query(f"""SELECT doc_id, idx::INT AS idx, (idx * 1040)::INT AS start, length(chunk)::INT AS n, sha256(chunk) AS sha FROM (
@@ -151,7 +152,7 @@ def chunk_sliding(spark, sf_dir):
     return _chunks(spark, sf_dir, S.chunks_sliding)
 
 
-@query(_bounded_sql("coalesce(text, '')", 1200, 1080, f"WHERE {_STRIP.format('t')} <> ''"))
+@query(_bounded_sql("coalesce(text, '')", 1200, 1080, f"WHERE {_STRIP.format('t')} <> ''", strip=True))
 def chunk_bounded(spark, sf_dir):
     return _chunks(spark, sf_dir, S.chunks_bounded)
 
@@ -175,16 +176,8 @@ def path_features(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", S.file_name(p).alias("name"), S.file_stem(p).alias("stem"), S.file_suffix(p).alias("suffix"))
 
 
-@query("""SELECT doc_id, 'doc' AS kind, source AS origin, lang, CASE WHEN doc_id % 3 = 0 THEN 'override' ELSE 'base' END AS focus, substr(coalesce(text, ''), 1, 60) AS head FROM documents""")
-def memory_documents(spark, sf_dir):
-    more = F.when(F.col("doc_id") % 3 == 0, F.create_map(F.lit("focus"), F.lit("override"))).otherwise(F.create_map().cast("map<string,string>"))
-    doc = Y.memory_document(F.substring(F.coalesce("text", F.lit("")), 1, 60), {"kind": F.lit("doc"), "origin": F.col("source"), "lang": F.col("lang"), "focus": F.lit("base")}, more)
-    rows = table(spark, sf_dir, "documents").select("doc_id", doc.alias("d"))
-    return rows.select("doc_id", *(F.col("d.metadata")[k].alias(k) for k in ("kind", "origin", "lang", "focus")), F.col("d.text").alias("head"))
-
-
 @query("""SELECT doc_id, 'doc' AS kind, source AS origin, lang, CASE WHEN doc_id % 3 = 0 THEN 'override' ELSE 'base' END AS focus, length(coalesce(text, ''))::INT AS n, sha256(coalesce(text, '')) AS sha FROM documents""")
-def memory_document_texts(spark, sf_dir):
+def memory_documents(spark, sf_dir):
     """The memory document of every whole text; its text by length and hash."""
     more = F.when(F.col("doc_id") % 3 == 0, F.create_map(F.lit("focus"), F.lit("override"))).otherwise(F.create_map().cast("map<string,string>"))
     doc = Y.memory_document(F.coalesce("text", F.lit("")), {"kind": F.lit("doc"), "origin": F.col("source"), "lang": F.col("lang"), "focus": F.lit("base")}, more)
@@ -206,7 +199,7 @@ def hash_embedding(spark, sf_dir):
 @query(f"""WITH s AS ({_BYTES}), n AS (SELECT item_id, sqrt(sum(total * total)) AS norm FROM s GROUP BY 1)
     SELECT item_id, bucket, round(total / norm, 6) AS value FROM s JOIN n USING (item_id)""")
 def hash_vectors(spark, sf_dir):
-    v = M.embed(M.embedding_sums(table(spark, sf_dir, "benchmark"), ["item_id"]), ["item_id"])
+    v = M.embedded(table(spark, sf_dir, "benchmark"), M.embed)
     return v.select("item_id", F.posexplode("vector").alias("bucket", "value")).where("value <> 0")
 
 
@@ -220,9 +213,8 @@ _SCORE = "list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p:
 
 
 def _query_vector(spark, sf_dir):
-    """The vector of the smallest id, as a literal: one row."""
-    row = table(spark, sf_dir, "embeddings").orderBy("vec_id").limit(1).first()
-    return F.array(*(F.lit(float(x)) for x in row.embedding)) if row else F.array().cast("array<double>")
+    """The vector of the smallest id: a table of one row."""
+    return table(spark, sf_dir, "embeddings").agg(F.min_by("embedding", "vec_id").alias("query"))
 
 
 def _vectors(spark, sf_dir):
@@ -238,18 +230,20 @@ def _topk_sql(where: str, part: str = "") -> str:
 
 @query(_topk_sql("true"))
 def vector_topk(spark, sf_dir):
-    return M.top_hits(_vectors(spark, sf_dir), _query_vector(spark, sf_dir)).select("vec_id", "score", "rank")
+    asked = _vectors(spark, sf_dir).join(F.broadcast(_query_vector(spark, sf_dir)))
+    return M.top_hits(asked, F.col("query")).select("vec_id", "score", "rank")
 
 
 @query(_topk_sql("e.label < 4 AND e.label IN (1, 2, 7)"))
 def vector_topk_filtered(spark, sf_dir):
     rows = _vectors(spark, sf_dir).where(M.search_filter(["promoted"], {"modality": "ct"}))
-    return M.top_hits(rows, _query_vector(spark, sf_dir)).select("vec_id", "score", "rank")
+    return M.top_hits(rows.join(F.broadcast(_query_vector(spark, sf_dir))), F.col("query")).select("vec_id", "score", "rank")
 
 
 @query(_topk_sql("true", "PARTITION BY label"))
 def vector_topk_grouped(spark, sf_dir):
-    return M.top_hits_by_group(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), "label").select("vec_id", "label", "score", "rank")
+    asked = _vectors(spark, sf_dir).join(F.broadcast(_query_vector(spark, sf_dir)))
+    return M.top_hits_by_group(asked, F.col("query"), "label").select("vec_id", "label", "score", "rank")
 
 
 @query(f"""WITH s AS ({_BYTES}), q AS (SELECT bucket, total FROM s WHERE item_id = (SELECT min(item_id) FROM benchmark))
@@ -267,13 +261,6 @@ def text_memory_search(spark, sf_dir):
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "item_id")))
 
 
-@query("""SELECT doc_id, 'documents:' || doc_id AS point_id, list_sum(list_transform(regexp_split_to_array(lower(substr(coalesce(text, ''), 1, 40)), '\\s+'), lambda x: (x <> '')::INT))::INT AS tokens, 'reciprocal_rank_fusion_candidate' AS fusion FROM documents""")
-def vector_points(spark, sf_dir):
-    head = F.lower(F.substring(F.coalesce("text", F.lit("")), 1, 40))
-    tokens = F.size(F.filter(F.split(head, r"(?U)\s+"), lambda t: t != ""))
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("documents:"), F.col("doc_id").cast("string")).alias("point_id"), tokens.alias("tokens"), F.lit("reciprocal_rank_fusion_candidate").alias("fusion"))
-
-
 @query(r"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
     b AS (SELECT doc_id, ('0x' || x)::INT AS b, i FROM (SELECT doc_id, unnest(regexp_extract_all(hex(encode(t)), '..')) AS x, unnest(range(strlen(t))) AS i FROM d)),
     s AS (SELECT doc_id, ((b + i) % 128)::INT AS bucket, sum(b % 31 + 1)::BIGINT AS total FROM b GROUP BY 1, 2),
@@ -285,7 +272,7 @@ def vector_points(spark, sf_dir):
     p AS (SELECT doc_id, string_agg(idx::VARCHAR, ',' ORDER BY idx) AS sparse_indexes, string_agg(n::VARCHAR, ',' ORDER BY idx) AS sparse_values FROM w GROUP BY 1)
     SELECT d.doc_id, 'documents:' || d.doc_id AS point_id, dense, coalesce(sparse_indexes, '') AS sparse_indexes, coalesce(sparse_values, '') AS sparse_values, length(t)::INT AS n, sha256(t) AS sha,
         lang, source, 'clinical_semantic_memory' AS memory_type FROM d JOIN v USING (doc_id) LEFT JOIN p USING (doc_id)""")
-def vector_point_build(spark, sf_dir):
+def vector_points(spark, sf_dir):
     """The point of every document from its whole text; the payload's text by length and hash."""
     docs = table(spark, sf_dir, "documents")
     own = Y.point(F.concat(F.lit("documents:"), F.col("doc_id").cast("string")), F.col("text"), F.create_map(F.lit("lang"), F.col("lang")), F.col("source"))
@@ -387,6 +374,24 @@ def imaging_routing(spark, sf_dir):
     return out.select("study_id", "input_kind", F.array_join("suffixes", ",").alias("suffixes"), "image_count", "readiness", F.col("provider.name").alias("provider"), "route", "existing_count", "local_readiness")
 
 
+@query(f"""WITH {_STUDIES}, r AS (SELECT *, strategy IN ('remote_radiology_vlm', 'remote_dicom_3d', 'hybrid_multimodal') AS remote, study_id % 2 = 0 AS enabled, CASE WHEN study_id % 3 = 0 THEN 'https://host' END AS endpoint FROM kd)
+    SELECT study_id, has AS encoder_ready, (has::INT - (has AND p_size <= 25)::INT)::BIGINT AS missing_count, CASE WHEN remote THEN 'remote_stub_to_local_features' ELSE 'local_features_only' END AS fallback_mode,
+        CASE WHEN remote THEN CASE WHEN enabled AND endpoint IS NOT NULL THEN 'request_prepared' ELSE 'not_called' END END AS status,
+        CASE WHEN remote THEN CASE WHEN enabled AND endpoint IS NOT NULL THEN 'network_call_not_implemented_in_research_stub' ELSE 'remote_provider_not_configured' END END AS reason,
+        CASE WHEN remote THEN endpoint END AS endpoint, CASE WHEN remote THEN study_id::VARCHAR END AS requested_study, CASE WHEN remote THEN has::INT END AS requested_paths, CASE WHEN remote THEN 30 END AS timeout_seconds FROM r""")
+def imaging_requests(spark, sf_dir):
+    """Encoded studies with the request that a remote provider would get."""
+    studies = _studies(spark, sf_dir)
+    out = I.encode_studies(studies, studies.where("p_size <= 25").select(F.explode("paths").alias("path")))
+    i = F.col("study_id")
+    out = I.with_remote(out, F.lit("volume_encoder"), F.when(i % 3 == 0, "https://host"), i % 2 == 0)
+    r = "remote_result"
+    return out.select(
+        "study_id", "encoder_ready", "missing_count", "fallback_mode", f"{r}.status", f"{r}.reason", f"{r}.request.endpoint", F.col(f"{r}.request.study_id").alias("requested_study"),
+        F.when(F.col(r).isNotNull(), F.size(f"{r}.request.series_paths")).alias("requested_paths"), f"{r}.request.timeout_seconds",
+    )
+
+
 @query("""SELECT p_partkey AS study_id, CASE WHEN p_partkey % 3 = 0 THEN p_partkey || '-local-imaging' ELSE 's' || p_partkey END AS first_study, CASE WHEN p_partkey % 3 = 0 THEN 'new.png' WHEN p_partkey % 3 = 1 THEN 'old.png,new.png' ELSE 'old.png' END AS paths FROM part""")
 def attach_images(spark, sf_dir):
     i = F.col("p_partkey")
@@ -413,9 +418,9 @@ def _fhir_cases(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT o_orderkey, 'case-' || o_orderkey AS case_id, CASE WHEN o_orderkey % 2 = 0 THEN 'patient-' || o_custkey END AS pid, CASE WHEN o_orderstatus = 'F' THEN '' ELSE o_orderpriority END AS report FROM orders)
-    SELECT case_id, 'Patient' AS resource_type, coalesce(pid, case_id) AS id, CAST(NULL AS VARCHAR) AS value FROM c
-    UNION ALL SELECT case_id, 'DiagnosticReport', 'dr-' || case_id, report FROM c WHERE report <> ''
-    UNION ALL SELECT case_id, 'Observation', 'obs-' || case_id || '-' || (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_linestatus) - 1), concat_ws('|', l_returnflag, l_linenumber, l_linestatus) FROM c JOIN lineitem ON l_orderkey = o_orderkey""")
+    SELECT case_id, 'Patient' AS resource_type, coalesce(pid, case_id) AS id, CAST(NULL AS VARCHAR) AS code, CAST(NULL AS VARCHAR) AS value, CAST(NULL AS VARCHAR) AS unit FROM c
+    UNION ALL SELECT case_id, 'DiagnosticReport', 'dr-' || case_id, NULL, report, NULL FROM c WHERE report <> ''
+    UNION ALL SELECT case_id, 'Observation', 'obs-' || case_id || '-' || (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_linestatus) - 1), l_returnflag, l_linenumber::VARCHAR, l_linestatus FROM c JOIN lineitem ON l_orderkey = o_orderkey""")
 def fhir_resources(spark, sf_dir):
     return Y.resources(_fhir_cases(spark, sf_dir))
 
@@ -437,6 +442,26 @@ def csv_payload_cxr(spark, sf_dir):
     return cxr_cases(rows, image_root="/root/").select("case_id", "patient_id", "age", "sex", "report_text", "study_id", "series_path")
 
 
+@query("""WITH r AS (SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'cxr-row-' || p_partkey ELSE 'img_' || p_partkey || '.png' END AS image, CASE WHEN p_partkey % 5 = 0 THEN 'No Finding' ELSE p_type END AS findings, p_size FROM part)
+    SELECT p_partkey, 'cxr14-' || regexp_replace(image, '\\.png$', '') AS case_id, p_size::VARCHAR AS age, image AS study_id, 'CR' AS modality, '/root/' || image AS series_path, findings AS finding_labels, 'PA' AS view_position, 'NIH ChestX-ray14-style metadata' AS source,
+        'false' AS contains_real_patient_data, '' AS errors FROM r""")
+def csv_payloads_nested(spark, sf_dir):
+    """CSV rows as whole payloads, with nested imaging, demographics and provenance, which the intake takes."""
+    i = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(
+        i.alias("row_index"), F.when(i % 4 == 0, "  ").otherwise(F.concat(F.lit(" img_"), i.cast("string"), F.lit(".png "))).alias("Image Index"), F.when(i % 5 != 0, F.col("p_type")).alias("Finding Labels"),
+        F.col("p_size").alias("Patient Age"), F.lit("PA").alias("View Position"),
+    )
+    good, _ = N.from_payload(nested_payloads(cxr_cases(rows, image_root="/root/"), "row_index"))
+    study = F.element_at("imaging", 1)
+    v = validated(good)
+    return v.select(
+        F.col("row_index").alias("p_partkey"), "case_id", F.col("demographics")["age"].alias("age"), study["study_id"].alias("study_id"), study["modality"].alias("modality"), F.element_at(study["series_paths"], 1).alias("series_path"),
+        study["metadata"]["finding_labels"].alias("finding_labels"), study["metadata"]["view_position"].alias("view_position"), F.col("provenance")["source"].alias("source"),
+        F.col("provenance")["contains_real_patient_data"].alias("contains_real_patient_data"), F.array_join("errors", ";").alias("errors"),
+    )
+
+
 @query("""SELECT 'openi-u' || p_partkey AS case_id, 'openi-synthetic-patient-' || p_partkey AS patient_id, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END AS patient_complaints, 'openi-image-' || p_partkey || '.png' AS study_id,
     coalesce(nullif(concat_ws(' ', CASE WHEN p_partkey % 2 = 0 THEN 'Indication: ' || p_brand END, CASE WHEN p_partkey % 3 = 0 THEN 'Findings: ' || p_type END, CASE WHEN p_partkey % 5 = 0 THEN 'Impression: ' || p_name END), ''), 'Open-i-style report metadata without narrative text.') AS report_text FROM part""")
 def csv_payload_openi(spark, sf_dir):
@@ -456,7 +481,7 @@ def _payloads(spark, sf_dir):
     )
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'missing_required_field:case_id' ELSE '' END AS errors, CASE WHEN (doc_id % 2 = 1 OR coalesce(text, '') = '') AND doc_id % 3 <> 0 THEN 'no_narrative_or_imaging_input' ELSE '' END AS warnings, doc_id % 9 <> 0 AS valid,
+@query("""SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'missing_required_field:case_id' ELSE '' END AS errors, CASE WHEN (doc_id % 2 = 1 OR coalesce(text, '') = '') AND doc_id % 3 <> 0 THEN 'minimal_payload_without_narrative_or_imaging' ELSE '' END AS warnings, doc_id % 9 <> 0 AS valid,
     doc_id % 3 <> 0 OR doc_id % 4 IN (0, 1) AS modality_ok FROM documents""")
 def validate_payloads(spark, sf_dir):
     v = known_modalities(validated(_payloads(spark, sf_dir)))
@@ -471,17 +496,45 @@ def batch_summary(spark, sf_dir):
 
 # Registries ----------------------------------------------------------------------------------------------------
 
-@query("SELECT * FROM (VALUES ('MIMIC-IV', 'credentialed_access_with_training_and_dua')) t(name, access_policy)")
+@query(f"SELECT * FROM (VALUES {', '.join(str(tuple(r)) for r in dims.CATALOG if r[1] == 'deidentified_ehr_icu_hospital')}) t(name, modality, access_policy, license_or_terms, recommended_use, caution, url)")
 def dataset_catalog(spark, sf_dir):
-    return dims.catalog(spark).where(F.col("modality") == "deidentified_ehr_icu_hospital").select("name", "access_policy")
+    return dims.catalog(spark).where(F.col("modality") == "deidentified_ehr_icu_hospital")
+
 
+def _capabilities(spark, sf_dir):
+    """Parts as capabilities: the type is the role, brand and type are modalities, the words of the name areas."""
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", F.concat_ws("-", "p_name", F.col("p_partkey").cast("string")).alias("name"), F.col("p_type").alias("role"), F.array("p_brand", "p_type").alias("modalities"),
+        F.split("p_name", " ").alias("areas"), F.col("p_size").cast("int").alias("priority"),
+    )
+
+
+_CAPABLE = "c AS (SELECT p_partkey, p_name || '-' || p_partkey AS name, p_type AS role, p_brand, string_split(p_name, ' ') AS areas, p_size::INT AS priority FROM part)"
+_ASKED = """q AS (SELECT list_extract(string_split(min(p_name), ' '), 1) AS area, min(p_brand) AS modality, max(p_type) AS role FROM part)"""
 
-@query("SELECT * FROM (VALUES ('semantic-object-memory', 5, 1), ('clinical-text-model', 20, 2)) t(name, priority, place)")
+
+@query(f"""WITH {_CAPABLE}, {_ASKED}, f AS (
+        SELECT 'area' AS asked, name, priority, p_partkey FROM c, q WHERE list_contains(areas, area) UNION ALL SELECT 'modality', name, priority, p_partkey FROM c, q WHERE p_brand = modality OR c.role = modality
+        UNION ALL SELECT 'role', name, priority, p_partkey FROM c, q WHERE c.role = q.role UNION ALL SELECT 'both', name, priority, p_partkey FROM c, q WHERE list_contains(areas, area) AND c.role = q.role)
+    SELECT asked, name, priority, row_number() OVER (PARTITION BY asked ORDER BY priority, p_partkey)::INT AS place FROM f""")
 def registry_select(spark, sf_dir):
+    """Capabilities that fit what is asked for, by priority: an area, a modality, a role, or two of them."""
     from pyspark.sql import Window
 
-    found = dims.capabilities(spark).where(dims.supports(area="case_context"))
-    return found.select("name", "priority", F.row_number().over(Window.orderBy("priority")).alias("place")).orderBy("priority")
+    parts, own = table(spark, sf_dir, "part"), _capabilities(spark, sf_dir)
+    asked = parts.agg(F.element_at(F.split(F.min("p_name"), " "), 1).alias("area"), F.min("p_brand").alias("modality"), F.max("p_type").alias("asked_role"))
+    rows = own.join(F.broadcast(asked))  # one row
+    area, modality, role = F.col("area"), F.col("modality"), F.col("asked_role")
+    ways = {"area": dims.supports(area=area), "modality": dims.supports(modality=modality), "role": dims.supports(role=role), "both": dims.supports(area=area, role=role)}
+    fits = rows.select("name", "priority", "p_partkey", F.explode(F.array_compact(F.array(*(F.when(w, F.lit(n)) for n, w in ways.items())))).alias("asked"))
+    return fits.select("asked", "name", "priority", F.row_number().over(Window.partitionBy("asked").orderBy("priority", "p_partkey")).alias("place"))
+
+
+@query(f"""WITH {_CAPABLE} SELECT 'multimodal_multimodel_signal_orchestration' AS strategy, 'orchestrator' AS final_authority, count(*) AS capabilities, sha256(string_agg(name, '|' ORDER BY priority, p_partkey)) AS ordered_sha FROM c""")
+def registry_record(spark, sf_dir):
+    """The record of a registry: who decides, and all capabilities by priority."""
+    r = dims.decision_record(_capabilities(spark, sf_dir), "p_partkey")
+    return r.select("strategy", "final_authority", F.size("capabilities").cast("long").alias("capabilities"), F.sha2(F.array_join("capabilities", "|"), 256).alias("ordered_sha"))
 
 
 @query("""WITH s(task, provider, enabled) AS (VALUES ('volume_encoder', 'local_imaging_feature_provider', true), ('report_encoder', 'local_text_encoder', true), ('critique', 'external_critic', false)),
@@ -500,9 +553,12 @@ def latest_registration(spark, sf_dir):
     return dims.latest(e, "task", "at").select("task", "event_id", F.lit(True).alias("known"))
 
 
-@query("""WITH s(task, provider, enabled) AS (VALUES ('volume_encoder', 'p', true), ('report_encoder', 'p', true), ('critique', 'p', false)) SELECT enabled, count(*) AS n, array_to_string(list(task ORDER BY task), ',') AS tasks FROM s GROUP BY enabled""")
+@query("""WITH s AS (SELECT event_type || '-' || user_id % 7 AS task, arg_max(value, row(ts, event_id)) > 50 AS enabled FROM events GROUP BY 1)
+    SELECT enabled, count(*) AS n, string_agg(task, ',' ORDER BY task) AS tasks FROM s GROUP BY enabled""")
 def service_partition(spark, sf_dir):
-    return dims.services(spark).groupBy("enabled").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("task")), ",").alias("tasks"))
+    """Services that events register again and again: enabled and disabled ones by their last registration."""
+    e = table(spark, sf_dir, "events").select(F.concat_ws("-", "event_type", (F.col("user_id") % 7).cast("string")).alias("task"), (F.col("value") > 50).alias("enabled"), F.struct("ts", "event_id").alias("at"))
+    return dims.partitioned(dims.latest(e, "task", "at")).select("enabled", "n", F.array_join("tasks", ",").alias("tasks"))
 
 
 @query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'rejected' ELSE 'prepared' END AS status FROM pages""")
@@ -551,7 +607,8 @@ def store_readiness(spark, sf_dir):
         SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'docling' ELSE 'plain_text_fallback' END AS parser, CASE WHEN doc_id % 4 = 0 THEN '# ' || coalesce(text, '') WHEN doc_id % 5 <> 0 THEN text END AS t FROM documents
     ), n AS (
         SELECT doc_id, count(*) AS n FROM (SELECT doc_id, {_STRIP.format("substr(t, idx * 1040 + 1, 1200)")} AS chunk FROM (SELECT doc_id, t, unnest(range(0, ((length(t) + 1039) // 1040)::INT)) AS idx FROM d WHERE t IS NOT NULL)) WHERE chunk <> '' GROUP BY 1
-    ) SELECT d.doc_id, CASE WHEN t IS NULL THEN 'failed' ELSE 'completed' END AS status, parser, CASE WHEN t IS NOT NULL THEN coalesce(n, 0)::INT END AS chunk_count FROM d LEFT JOIN n USING (doc_id)""")
+    ) SELECT d.doc_id, CASE WHEN t IS NULL THEN 'failed' ELSE 'completed' END AS status, parser, CASE WHEN t IS NOT NULL THEN coalesce(n, 0)::INT END AS chunk_count,
+        CASE doc_id % 4 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' WHEN 2 THEN 'not_executed' ELSE 'not_requested' END AS converter_status FROM d LEFT JOIN n USING (doc_id)""")
 def parsed_documents(spark, sf_dir):
     i = F.col("doc_id")
     plain, status = F.when(i % 5 != 0, F.col("text")), F.when(i % 4 == 0, "completed").when(i % 4 == 1, "failed").when(i % 4 == 2, "not_executed")
