@@ -235,8 +235,10 @@ def test_near_copies_against_brute_force(spark, documents, width):
     assert got == want
 
 
-def test_large_candidates_are_cut_into_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 100])
+def test_large_candidates_are_cut_into_blocks(spark, monkeypatch, few):
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "FEW", few)
     random.seed(6)
     base = [f"w{random.randint(0, 10**6)}" for _ in range(80)]
     rows = []
@@ -250,6 +252,94 @@ def test_large_candidates_are_cut_into_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df, 4).collect()} == want
 
 
+def template_pages(n, words=100, own=14, seed=1):
+    """Pages of one template, each with ``own`` words at its end that no other has: similarity below 0.79 by single words."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(words)]
+    return [(i, " ".join([*base, *(f"z{i}x{k}" for k in range(own + i % 3))])) for i in range(n)]
+
+
+def test_unlinked_pages_of_one_template_cost_in_proportion(spark, monkeypatch):
+    tiled = []
+    plain = near_dedup.stored
+
+    def spied(df, name):
+        out = plain(df, name)
+        if name == "tiles":
+            tiled.append(out.count())
+        elif name == "links":
+            tiled.append(0)
+        return out
+
+    monkeypatch.setattr(near_dedup, "stored", spied)
+    monkeypatch.setattr(near_dedup, "BLOCK", 64)
+    sizes = []
+    for n in (160, 640):
+        tiled.clear()
+        got = near_dedup.near_duplicates(spark.createDataFrame(template_pages(n), "doc_id long, text string"), 1)
+        assert got.where("kept").count() == n
+        sizes.append(2 * n + sum(tiled))
+    assert sizes[1] <= 5 * sizes[0], sizes
+
+
+def test_links_between_parts_are_found_by_prefixes(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "FEW", 0)
+    rng = random.Random(4)
+    rows = template_pages(160)
+    for i in range(60):  # pages near one of the first, at all sides of the threshold
+        _, text = rows[rng.randrange(100)]
+        words = text.split()
+        for _ in range(rng.randint(0, 12)):
+            words[rng.randrange(len(words))] = f"y{i}{rng.randint(0, 999)}"
+        rows.append((1000 + i, " ".join(words[rng.randint(0, 9) :])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    # nothing is joined beforehand, so that all links are left to the prefixes
+    plain = near_dedup.confirmed_edges
+    calls = []
+    monkeypatch.setattr(near_dedup, "confirmed_edges", lambda m, *a: plain(m.limit(0) if not calls.append(1) and len(calls) == 1 else m, *a))
+    want = brute_duplicates(rows, 1)
+    assert 20 < sum(c != d for d, (_, c) in want.items())
+    monkeypatch.setattr(near_dedup, "candidate_edges", lambda classes, _: classes.crossJoin(F.broadcast(classes.agg(F.min("rep").alias("b")))).select(F.col("rep").alias("a"), "b"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df, 1).collect()} == want
+
+
+def test_ids_with_several_texts_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "REPEATED", 20)
+    monkeypatch.setattr(near_dedup, "partitions", lambda *_: 16)
+    words = [f"w{i}" for i in range(60)]
+    one, near, other = " ".join(words), " ".join(words[:-1]), "another text altogether " * 3
+    rows = [(5, one, 1), (7, near, 2), (7, other, 3), (7, near, 4), (9, other + "so", 5)] + [(8, one, k) for k in range(200)] + [(4, other, k) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k long")
+    found = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df, 4).collect()}
+    assert found == {(5, 5, True), (7, 5, False), (7, 4, False), (8, 5, False), (4, 4, True), (9, 4 if brute_duplicates([(4, other), (9, other + "so")], 4)[9][1] == 4 else 9, brute_duplicates([(4, other), (9, other + "so")], 4)[9][1] != 4)}
+    kept = near_dedup.deduplicated(df, 4).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted({(5, one), (4, other)} | ({(9, other + "so")} if (9, 9, True) in found else set()))
+    # texts of one id that are no near copies both stay, near copies of one id do not
+    df = spark.createDataFrame([(1, one), (1, other), (1, near), (1, one)], "doc_id long, text string")
+    kept = [r.text for r in near_dedup.deduplicated(df, 4).collect()]
+    assert len(kept) == 2 and other in kept
+
+
+def test_large_and_cut_nodes_lose_few_pairs(spark, monkeypatch):
+    """Pairs at 0.8 within a hot group of common boilerplate, by all trees, with nodes far above their limit and cut by tasks."""
+    monkeypatch.setattr(near_dedup, "NODE", 64)
+    monkeypatch.setattr(near_dedup, "partitions", lambda *_: 16)
+    rng = np.random.default_rng(12)
+    n, k = 3000, near_dedup.SIGNATURE
+    drawn = lambda m: rng.integers(0, 256, (m, k)).astype(np.uint8)
+    own = np.where(rng.random((n, k)) < 0.55, drawn(1), drawn(n))
+    near = np.where(rng.random((n, k)) < 0.8, own, drawn(n))
+    signs = np.concatenate([own, near])
+    roots = signs[:, : near_dedup.TREES].astype(int)
+    rows = [(i, roots[i].tolist(), bytearray(x.tobytes())) for i, x in enumerate(signs)]
+    classes = spark.createDataFrame(rows, "rep long, roots array<int>, signature binary")
+    got = {r.id: r.component for r in components.components(near_dedup.candidate_edges(classes, 0.8)).collect()}
+    likely = [i for i in range(n) if (own[i] == near[i]).sum() >= 84]
+    met = sum(got.get(i, i) == got.get(i + n, i + n) for i in likely)
+    assert len(likely) > 0.95 * n and met / len(likely) > 0.9
+
+
 def test_large_nodes_branch():
     rng = np.random.default_rng(3)
     groups = rng.integers(0, 256, (300, near_dedup.SIGNATURE)).astype(np.uint8)
@@ -281,7 +371,7 @@ def test_large_nodes_are_compared_below_the_depth(monkeypatch):
 def test_nodes_cut_by_tasks_are_dealt_again(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "NODE", 16)
     monkeypatch.setattr(near_dedup, "TREES", 1)
-    monkeypatch.setattr(near_dedup, "partitions", lambda _: 16)
+    monkeypatch.setattr(near_dedup, "partitions", lambda *_: 16)
     rng = np.random.default_rng(8)
     drawn = lambda n: rng.integers(0, 256, (n, near_dedup.SIGNATURE)).astype(np.uint8)
     half = np.where(rng.random((600, near_dedup.SIGNATURE)) < 0.6, drawn(1), drawn(600))
@@ -307,7 +397,8 @@ def test_near_copies_edges(spark):
     kept = near_dedup.deduplicated(docs)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
-    assert ids.count(None) == 2 and ids.count(3) == 1 and len(set(ids)) == len(ids) - 1
+    # the two texts of 5 are different documents, the two rows of 3 are one
+    assert ids.count(None) == 2 and ids.count(3) == 1 and ids.count(5) == 2 and len(set(ids)) == len(ids) - 2
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0 and near_dedup.deduplicated(docs.limit(0)).count() == 0
 
 
@@ -610,10 +701,12 @@ def brute_topk(rows, k):
     return out
 
 
-def test_top_k_with_ties_and_copies(spark, monkeypatch):
+@pytest.mark.parametrize("growth", [2, 100])
+def test_top_k_with_ties_and_copies(spark, monkeypatch, growth):
     monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 50)
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(topk, "QUERY_BATCH", 7)
     monkeypatch.setattr(topk, "RUN_BLOCKS", 3)
+    monkeypatch.setattr(topk, "GROWTH", growth)
     rng = np.random.default_rng(2)
     rows = [(i, rng.integers(-5, 6, 20).tolist()) for i in range(700)] + [(1000 + i, [3] * 20) for i in range(300)] + [(2000, [0] * 20), (2020, [10**6] * 20)]
     df = spark.createDataFrame(rows, "vec_id long, vector array<long>")
@@ -621,12 +714,31 @@ def test_top_k_with_ties_and_copies(spark, monkeypatch):
     assert got == brute_topk(rows, 20)
 
 
+def test_top_k_sends_queries_only_where_needed(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 20)
+    monkeypatch.setattr(topk, "RUN_BLOCKS", 2)
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.integers(-9, 10, 12) * (1 + 40 * (i % 10 == 0))).tolist()) for i in range(1000)]
+    sent, plain = [], topk._round
+    monkeypatch.setattr(topk, "_round", lambda b, a, low, high, s: sent.append((a.select(F.sum(F.least("reach", F.lit(high)) - low)).first()[0], high - low)) or plain(b, a, low, high, s))
+    got = {tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, vector array<long>"), F.col("vec_id") % 20 == 0, 5).collect()}
+    want = {r for r in brute_topk(rows, 5)}
+    assert got == want
+    # 50 queries and 25 runs of 40: a tenth of the vectors is long, so most runs are never asked
+    assert sum(n for n, _ in sent) < 50 * 25 / 3 and max(h for _, h in sent) <= 25
+    assert topk._smallest_kind(127) == "i1" and topk._smallest_kind(128) == "i2" and topk._smallest_kind(1 << 40) == "i8"
+
+
 def test_top_k_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [0.1, -0.1]), (20, [0.5, None]), (40, None), (60, [nan, 1.0]), (80, [inf, 1.0]), (1, [1.0, 1.0]), (None, [1.0, 1.0]), (2, [-0.01, 0.0])]
     v = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
     assert sorted(tuple(r) for r in topk.top_k(v, F.col("vec_id") % 20 == 0).collect()) == [(0, 1, 2, -6), (0, 2, 1, -64)]
     assert topk.top_k(v.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    wide = spark.createDataFrame([(0, [1 << 20]), (20, [1 << 20, 3]), (3, [])], "vec_id long, vector array<long>")
+    assert sorted(tuple(r) for r in topk.top_k(wide, F.col("vec_id") % 20 == 0).collect()) == [(0, 1, 20, 1 << 40), (0, 2, 3, 0), (20, 1, 0, 1 << 40), (20, 2, 3, 0)]
+    with pytest.raises(ValueError):
+        topk.top_k(spark.createDataFrame([(0, [1 << 40, 1])], "vec_id long, vector array<long>"), F.col("vec_id") == 0)
 
 
 # 9 -------------------------------------------------------------------------------------------------------------
