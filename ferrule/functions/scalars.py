@@ -162,11 +162,6 @@ def bucket_sums(text: Column, dimensions: int = 128) -> Column:
     return summed(text)
 
 
-def token_index(token: Column, buckets: int = 100_000) -> Column:
-    """The sum of a token's code points, modulo ``buckets``."""
-    return F.aggregate(F.transform(F.split(token, ""), lambda c: F.ascii(c)), F.lit(0), lambda a, c: a + c) % buckets
-
-
 def canonical_hash(payload: Column) -> Column:
     """sha256 of a JSON text in its canonical form: sorted keys at every level, ", " and ": " between, all beyond ASCII escaped.
 

@@ -48,7 +48,7 @@ def sparse(docs: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
 
 
 def _dense(text: str, dimensions: int) -> list[float]:
-    """Bucket sums of the positional byte hash (as byte_sums), divided by their length, to six digits; zeros for an empty text."""
+    """Bucket sums of the positional byte hash (as bucket_sums), divided by their length, to six digits; zeros for an empty text."""
     data = np.frombuffer(text.encode(), dtype=np.uint8).astype(np.int64)
     sums = np.bincount((data + np.arange(len(data))) % dimensions, weights=data % 31 + 1, minlength=dimensions)
     norm = math.sqrt(float((sums * sums).sum())) or 1.0

@@ -13,7 +13,6 @@ from . import query
 from . import r3 as rs
 from .cases import BASE, INTUITION, POLICY, REPLAY, SUPPORT, base_sql, cases
 
-_STRING_MAP = "map<string,string>"
 _VALID = "d.doc_id % 9 <> 0 AND (d.doc_id % 3 <> 0 OR d.doc_id % 4 IN (0, 1))"
 _OWN = "0.9 AS replay_coherence, 0.1 AS replay_risk, 0.2 AS risk, 0.1 AS uncertainty"
 PAYLOAD = base_sql(_OWN, _VALID, "false")
