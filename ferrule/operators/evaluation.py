@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp, normal_label
@@ -55,6 +55,19 @@ def calibration_summary(bins: DataFrame) -> DataFrame:
     )
 
 
+def risk_coverage(bins: DataFrame) -> DataFrame:
+    """For every bin that holds records: what answering from its lower bound on would cover, and the accuracy and risk of it.
+
+    The bins' few rows are summed up from the most confident one on, so records are never sorted.
+    """
+    down = Window.orderBy(F.col("bin").desc())
+    n, right = F.sum("n").over(down), F.sum(F.round(F.col("accuracy") * F.col("n")).cast("long")).over(down)
+    total = F.sum("n").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = bins.select("bin", "lower", "n", n.alias("answered"), right.alias("right"), total.alias("total")).where("n > 0")
+    share = F.col("right") / F.col("answered")
+    return rows.select("bin", F.round("lower", 4).alias("threshold"), F.round(F.col("answered") / F.col("total"), 6).alias("coverage"), F.round(share, 6).alias("retained_accuracy"), F.round(1 - share, 6).alias("risk"))
+
+
 def suggested_threshold(bins: DataFrame, target: float = 0.8) -> DataFrame:
     least = F.min(F.when((F.col("n") > 0) & (F.col("accuracy") >= target), F.col("lower")))
     return bins.agg(least.alias("threshold")).withColumn("status", F.when(F.col("threshold").isNull(), "no_threshold_suggested").otherwise("threshold_suggested"))

@@ -48,6 +48,12 @@ def numbered(rows: DataFrame, by: str, name: str = "place") -> DataFrame:
     return placed.select(by, (F.col("_b") + F.row_number().over(Window.partitionBy("_r").orderBy(by))).alias(name))
 
 
+def snapshot(pushed: DataFrame, key: str, order: str, item: str) -> DataFrame:
+    """(key, items): what was pushed to each workspace, in the order of arrival. A workspace is small: one per case."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(order, item))), lambda x: x[item])
+    return pushed.groupBy(key).agg(listed.alias("items"))
+
+
 def status_counts(records: DataFrame) -> DataFrame:
     return records.groupBy("learning_status").agg(F.count(F.lit(1)).alias("n"))
 

@@ -11,6 +11,7 @@ from ..operators import imaging as I
 from ..operators import intake as N
 from ..operators import memory as M
 from ..operators import payloads as Y
+from ..operators import placeholders as H
 from ..sources import batch_summary as summed
 from ..sources import cxr_cases, known_modalities, nested_payloads, openi_cases, parse_benchmark, table, validated
 from . import dims, query
@@ -48,6 +49,12 @@ def calibration_threshold(spark, sf_dir):
     return E.suggested_threshold(E.calibration_bins(_records(spark, sf_dir)), 0.85)
 
 
+@query(_BINS + """, t AS (SELECT bin, lower, n, sum(n) OVER (ORDER BY bin DESC) AS answered, sum(round(accuracy * n)) OVER (ORDER BY bin DESC) AS correct, sum(n) OVER () AS total FROM bins)
+    SELECT bin, round(lower, 4) AS threshold, round(answered / total, 6) AS coverage, round(correct / answered, 6) AS retained_accuracy, round(1 - correct / answered, 6) AS risk FROM t WHERE n > 0""")
+def risk_coverage(spark, sf_dir):
+    return E.risk_coverage(E.calibration_bins(_records(spark, sf_dir)))
+
+
 _ROWS = """WITH r AS (
     SELECT l.doc_id, d.lang, d.source, l.doc_id % 5 = 0 AS abstained, CASE WHEN l.doc_id % 3 = 0 THEN 'alpha' ELSE 'beta' END AS predicted, CASE WHEN l.quality = 1 THEN ['alpha'] ELSE ['beta', 'gamma'] END AS gold
     FROM labels l JOIN documents d USING (doc_id)
@@ -285,6 +292,26 @@ def vector_points(spark, sf_dir):
     )
 
 
+# Placeholders ----------------------------------------------------------------------------------------------------
+
+@query("""SELECT doc_id, 'api_for_service_pathology_encoder' AS pathology, 's' || doc_id AS slide_id, '/img/' || doc_id || '.dcm' AS series_path, 'api_for_service_dicom_reader' AS reader, 'placeholder' AS status,
+    'api_for_service_knowledge_graph' AS graph, 'api_for_service_document_rag' AS rag, lang AS asked, (2 + (doc_id % 2 = 0)::INT)::INT AS feature_count, CASE WHEN doc_id % 2 = 0 THEN 'a,lang,source' ELSE 'lang,source' END AS context_keys,
+    (doc_id % 7) * 0.125 AS calibrated, 'research_only' AS clinical, CASE WHEN doc_id % 3 = 0 THEN 'enabled_research' ELSE 'disabled_local_research' END AS theoretical_quantum FROM documents""")
+def placeholders(spark, sf_dir):
+    """What the parts answer that only name their service."""
+    i = F.col("doc_id")
+    two = F.create_map(F.lit("source"), F.col("source"), F.lit("lang"), F.col("lang"))
+    context = F.when(i % 2 == 0, F.map_concat(F.create_map(F.lit("a"), F.lit("1")), two)).otherwise(two)
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", H.pathology(F.concat(F.lit("s"), i.cast("string"))).alias("p"), H.dicom_series(F.concat(F.lit("/img/"), i.cast("string"), F.lit(".dcm"))).alias("d"), H.asked("knowledge_graph", F.col("lang")).alias("g"),
+        H.asked("retrieval", F.col("lang")).alias("r"), H.decision(context).alias("h"), H.dreamt(context).alias("m"), H.calibrated((i % 7) * 0.125).alias("c"), H.validation_matrix(i % 3 == 0, F.lit("local_research")).alias("v"),
+    )
+    return rows.select(
+        "doc_id", F.col("p.provider").alias("pathology"), "p.slide_id", "d.series_path", "d.reader", "d.status", F.col("g.provider").alias("graph"), F.col("r.provider").alias("rag"), F.col("r.query").alias("asked"),
+        "h.feature_count", F.array_join("m.context_keys", ",").alias("context_keys"), "c.calibrated", "v.clinical", "v.theoretical_quantum",
+    )
+
+
 # Memory --------------------------------------------------------------------------------------------------------
 
 _LOG = """log AS (SELECT user_id || '-' || strftime(ts, '%Y-%m-%d') AS record_id, ts, event_id, value, CASE event_type WHEN 'purchase' THEN 'promoted' WHEN 'error' THEN 'rejected' ELSE 'candidate' END AS status FROM events)"""
@@ -323,6 +350,13 @@ def memory_consolidation(spark, sf_dir):
     return M.consolidated(d).select("record_id", F.sha2("text", 256).alias("sha"), "learning_status")
 
 
+@query("SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles, count(*)::INT AS pushed FROM conversations GROUP BY 1")
+def workspace_snapshots(spark, sf_dir):
+    """A conversation as a workspace that its turns are pushed to."""
+    w = M.snapshot(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role")
+    return w.select("conv_id", F.array_join("items", ",").alias("roles"), F.size("items").alias("pushed"))
+
+
 @query("SELECT event_id, user_id FROM events ORDER BY ts, event_id LIMIT 5")
 def episodic_first(spark, sf_dir):
     return table(spark, sf_dir, "events").orderBy("ts", "event_id").limit(5).select("event_id", "user_id")
