@@ -42,7 +42,7 @@ def memory_document(chunk: Column, base: dict[str, Column], more: Column) -> Col
 
 def sparse(docs: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
     """(ids, idx, n): tokens of the lower-cased text by the sum of their code points, counted within the row."""
-    own = point_vectors(F.col(text))
+    own = point_vectors(F.col(text), 0)
     rows = docs.select(*ids, own.alias("_v")).select(*ids, F.explode(F.arrays_zip("_v.indexes", "_v.counts")).alias("_x"))
     return rows.select(*ids, F.col("_x.indexes").alias("idx"), F.col("_x.counts").cast("long").alias("n"))
 
@@ -56,7 +56,7 @@ def _dense(text: str, dimensions: int) -> list[float]:
 
 
 def point_vectors(text: Column, dimensions: int = 128) -> Column:
-    """The dense vector of a whole text, and the indexes (ascending) and counts of its sparse one; null is an empty text.
+    """The dense vector of a whole text (empty for no dimensions), and the indexes (ascending) and counts of its sparse one; null is an empty text.
 
     Each row is a point of its own, also where ids repeat, and an empty text has one
     too, so this does not group exploded bytes and tokens by id.
@@ -68,7 +68,7 @@ def point_vectors(text: Column, dimensions: int = 128) -> Column:
         dense, indexes, counts = [], [], []
         for value in texts:
             own = value.as_py() or ""
-            dense.append(_dense(own, dimensions))
+            dense.append(_dense(own, dimensions) if dimensions else [])
             sums: dict[int, float] = {}
             for token, n in Counter(own.lower().split()).items():
                 if (at := places.get(token)) is None:
